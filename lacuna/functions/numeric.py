@@ -127,10 +127,14 @@ def _peak_g_exact(gamma: np.ndarray, w: np.ndarray, intervals: int = 512) -> np.
     return out
 
 
-@F.pandas_udf("double")
-def peak_g_exact(gamma: pd.Series, w: pd.Series) -> pd.Series:
+def peak_g_exact(gamma: Column, w: Column) -> Column:
     """The peak function by Simpson's rule over the curvature."""
-    return pd.Series(_peak_g_exact(gamma.to_numpy(float), w.to_numpy(float)))
+
+    @F.pandas_udf("double")
+    def exact(g: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(_peak_g_exact(g.to_numpy(float), v.to_numpy(float)))
+
+    return exact(gamma, w)
 
 
 # --- first crossings -------------------------------------------------------------------------------------------

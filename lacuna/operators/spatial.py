@@ -43,9 +43,12 @@ def _reached(c: Column, reach: Column, cell: float, n: int, periodic: bool) -> C
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def _gap(c: Column, i: Column, cell: float) -> Column:
-    """Distance along an axis from c to the cell i, not wrapped."""
-    return F.greatest(F.lit(0.0), i * F.lit(cell) - c, c - (i + 1) * F.lit(cell))
+def _gap(c: Column, i: Column, cell: float, n: int, periodic: bool) -> Column:
+    """Distance along an axis from c to the cell i, or to the nearest of its images."""
+    def to(j):
+        return F.greatest(F.lit(0.0), j * F.lit(cell) - c, c - (j + 1) * F.lit(cell))
+
+    return F.least(to(i), to(i + n), to(i - n)) if periodic else to(i)
 
 
 def reached_cells(centres: DataFrame, reach: Column, box: float, n: int, periodic: bool = True) -> DataFrame:
@@ -54,7 +57,7 @@ def reached_cells(centres: DataFrame, reach: Column, box: float, n: int, periodi
     df = centres.withColumn("__reach", reach)
     for c in ("x", "y", "z"):
         df = df.withColumn(f"__{c}", F.explode(_reached(F.col(f"c{c}"), F.col("__reach"), cell, n, periodic)))
-        df = df.withColumn(f"__g{c}", _gap(F.col(f"c{c}"), F.col(f"__{c}"), cell))
+        df = df.withColumn(f"__g{c}", _gap(F.col(f"c{c}"), F.col(f"__{c}"), cell, n, periodic))
         df = df.where(sum((F.col(f"__g{k}") ** 2 for k in "xyz"[: "xyz".index(c) + 1]), F.lit(0.0)) <= F.col("__reach") ** 2 * (1 + 1e-9)) if n > 3 else df
     if periodic:
         df = df.withColumns({f"__{c}": F.pmod(F.col(f"__{c}"), F.lit(n)) for c in "xyz"})

@@ -809,9 +809,15 @@ _finder("hill_voids", finders.Settings(refine="hill"))
 @query
 def survey_voids(spark, sf_dir):
     inside = "pow(x - 50, 2) + pow(y - 50, 2) + pow(z - 50, 2) < 2300"
-    data = tables.carved(spark, sf_dir).where(inside)
-    randoms = tables.tracers(spark, sf_dir).select(F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z")).where(inside)
-    return finders.survey_finder(data, randoms, GridSpec(24, BOX), [11.0, 8.0], -0.7)
+    full = tables.tracers(spark, sf_dir)
+    turned = [full.select(*[F.pmod(F.col(a) + s, F.lit(BOX)).alias(b) for a, b in zip(order, "xyz")]) for order, s in (("yzx", 0.0), ("zxy", 31.0), ("yxz", 57.0), ("zyx", 83.0), ("xzy", 11.0))]
+    randoms = turned[0]
+    for other in turned[1:]:
+        randoms = randoms.unionByName(other)
+    data, randoms = materialise(tables.carved(spark, sf_dir).where(inside)), materialise(randoms.where(inside))
+    box, offset = survey.survey_box(randoms, 11.0, 8.0)
+    found = finders.survey_finder(rows.translate(data, offset), rows.translate(randoms, offset), GridSpec(32, box), [11.0, 8.0], -0.7)
+    return rows.translate(found, tuple(-o for o in offset), ("cx", "cy", "cz"))
 
 
 @query
