@@ -36,6 +36,8 @@ SHINGLE = 5
 LEAST = 75
 SPARE = 0.15
 CHUNK = 2048
+#: Shingles that one task counts at a time.
+RANGE_SHINGLES = 400_000
 #: Shingles of small blocks that are searched in one call.
 BIN_SHINGLES = 1_000_000
 #: The weight of a binary search against a merge step, in DivideSkip's choice of L.
@@ -129,8 +131,40 @@ def _scan(parts: int):
     return run
 
 
-def _count_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Passes documents on; for sets, adds how many of their hashes in this range another set has too."""
+def _pack_by_set(sid: np.ndarray, groups: int, *columns: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """The arrays cut by groups of sets, as bytes: one entry a group, however many sets there are."""
+    g = mix(sid.view(np.uint64)) % np.uint64(groups)
+    order = np.argsort(g, kind="stable")
+    cuts = np.searchsorted(g[order], np.arange(groups + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    return full, [[c[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full] for c in (sid, *columns)]
+
+
+_SEEN = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("g", pa.int32()), ("sids", pa.binary()), ("counts", pa.binary())])
+
+
+def _count_shared(groups: int):
+    """Passes documents on; tells, by group of sets, how many of their hashes in this range another set has too."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        docs, who, many = _shared_in(table)
+        full, (sids, counts) = _pack_by_set(who, groups, many.astype(np.int32))
+        k = len(full)
+        docs = docs.append_column("g", pa.nulls(len(docs), pa.int32())).append_column("sids", pa.nulls(len(docs), pa.binary())).append_column("counts", pa.nulls(len(docs), pa.binary()))
+        more = pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(full, pa.int32()), pa.array(sids, pa.binary()), pa.array(counts, pa.binary())], schema=_SEEN)
+        return pa.concat_tables([docs.cast(_SEEN), more])
+
+    return run
+
+
+def _sum_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    sid = np.frombuffer(b"".join(table["sids"].to_pylist()), np.int64)
+    count = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+    who, at = np.unique(sid, return_inverse=True)
+    return pa.table({"sid": pa.array(who), "more": pa.array(np.bincount(at, count, len(who)).astype(np.int64))})
+
+
+def _shared_in(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     blobs = table.filter(pc.is_valid(table["low"]))
     docs = table.filter(pc.is_null(table["low"])).select(["key", "sid", "n", "shared"])
     low, sid = [], []
@@ -139,9 +173,9 @@ def _count_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         one = at != 0xFFFF
         low += [hashes[one], hashes[~one], hashes[~one]]  # a witness counts as two sets
         sid += [sids[at[one]], np.zeros(2 * int((~one).sum()), np.int64)]
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())])
+    none = np.zeros(0, np.int64)
     if not low:
-        return docs.cast(schema)
+        return docs, none, none
     low, sid = np.concatenate(low), np.concatenate(sid)
     order = np.lexsort((sid, low))
     low, sid = low[order], sid[order]
@@ -150,10 +184,8 @@ def _count_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     low, sid = low[new], sid[new]
     at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     count = np.diff(np.append(at, len(low)))
-    hit = sid[np.repeat(count > 1, count) & (sid != 0)]
-    who, many = np.unique(hit, return_counts=True)
-    more = pa.table({"key": pa.nulls(len(who), pa.int64()), "sid": pa.array(who), "n": pa.nulls(len(who), pa.int32()), "shared": pa.array(many.astype(np.int32))})
-    return pa.concat_tables([docs.cast(schema), more.cast(schema)])
+    who, many = np.unique(sid[np.repeat(count > 1, count) & (sid != 0)], return_counts=True)
+    return docs, who, many
 
 
 def _sets_of(batches):
@@ -176,46 +208,40 @@ def _ranges(parts: int):
             raws = batch.column("hashes").to_pylist()
             n = batch.column("n").to_numpy().astype(np.int64)
             h, sid = np.frombuffer(b"".join(raws), np.uint64), np.repeat(batch.column("sid").to_numpy(), n)
+            size = np.repeat(n, n).astype(np.int32)
             r = ((h >> np.uint64(32)) & np.uint64(0xFFFFF)) % np.uint64(parts)
             order = np.argsort(r, kind="stable")
             cuts = np.searchsorted(r[order], np.arange(parts + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             spans = [order[cuts[p] : cuts[p + 1]] for p in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([h[i].tobytes() for i in spans], pa.binary()), pa.array([sid[i].tobytes() for i in spans], pa.binary())], ["r", "hashes", "sids"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([x[i].tobytes() for i in spans], pa.binary()) for x in (h, sid, size)]], ["r", "hashes", "sids", "ns"])
 
     return run
 
 
-def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each set its hashes in this range that other sets have too, with the number of sets."""
-    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-    sid = np.frombuffer(b"".join(table["sids"].to_pylist()), np.int64)
-    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    df = count[inverse]
-    h, sid, df = h[df > 1], sid[df > 1], df[df > 1]
-    order = np.argsort(sid, kind="stable")
-    h, sid, df = h[order], sid[order], df[order]
-    at = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(sid))
-    return pa.table({"sid": pa.array(sid[at]), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()), "df": pa.array([df[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
+def _frequencies(groups: int):
+    """Hashes in this range that several sets have, with the number of sets, by group of sets."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, sid, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("hashes", np.uint64), ("sids", np.int64), ("ns", np.int32)))
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        df = count[inverse]
+        full, columns = _pack_by_set(sid[df > 1], groups, h[df > 1], n[df > 1], df[df > 1])
+        return pa.table([pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["g", "sids", "hashes", "ns", "df"])
+
+    return run
 
 
-def _prefixes(batches):
+def _prefixes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The shared shingles among the |x| - T + 1 rarest of each set, if it shares enough to have a partner."""
-    for batch in batches:
-        out_h, out_sid, out_n = [], [], []
-        for sid, n, hs, dfs in zip(*(batch.column(x).to_pylist() for x in ("sid", "n", "hs", "dfs"))):
-            h, df = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(dfs), np.int64)
-            t = needed(n)
-            if len(h) < t:
-                continue
-            take = n - t + 1 - (n - len(h))  # hashes that no other set has come first
-            order = np.lexsort((h, df))[:take]
-            out_h.append(h[order])
-            out_sid.append(np.full(take, sid))
-            out_n.append(np.full(take, n, np.int32))
-        if out_h:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).view(np.int64)), pa.array(np.concatenate(out_sid)), pa.array(np.concatenate(out_n))], ["h", "sid", "n"])
+    sid, h, n, df = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("sids", np.int64), ("hashes", np.uint64), ("ns", np.int32), ("df", np.int64)))
+    order = np.lexsort((h, df, sid))
+    sid, h, n = sid[order], h[order], n[order].astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(at, len(sid)))
+    take = shared - needed(n[at]) + 1  # hashes that no other set has come first in the order
+    some = np.arange(len(sid)) - np.repeat(at, shared) < np.repeat(take, shared)
+    return pa.table({"h": pa.array(h[some].view(np.int64)), "sid": pa.array(sid[some]), "n": pa.array(n[some].astype(np.int32))})
 
 
 def t_occurrence(sets: list[np.ndarray], chunk: np.ndarray, across: bool) -> list[tuple[int, int]]:
@@ -293,21 +319,24 @@ def join(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    ranges = 2 * parts
+    groups = max(16, parts // 4)
     texts = docs.select(key_of("doc_id").alias("key"), "text")
     # 1. Sets, and which of them may have a partner.
-    seen = texts.mapInArrow(_scan(ranges), _SCAN).groupBy("r").applyInArrow(_count_shared, "key long, sid long, n int, shared int")
+    seen = texts.mapInArrow(_scan(parts), _SCAN).groupBy("r").applyInArrow(_count_shared(groups), "key long, sid long, n int, shared int, g int, sids binary, counts binary")
     seen = stage(seen, "jaccard_sets")
     rows = seen.where("key IS NOT NULL").select("key", "sid", "n")
-    sets = seen.groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("first"), F.sum("shared").alias("shared")).where("n > 0")
+    more = seen.where("key IS NULL").select("g", "sids", "counts").groupBy("g").applyInArrow(_sum_shared, "sid long, more long")
+    own = seen.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min("key").alias("first"), F.sum("shared").alias("shared"))
+    sets = own.join(more, "sid", "left")
     spare = F.greatest(F.lit(1), F.ceil(F.lit(SPARE) * F.col("n")))
-    likely = stage(sets.where(F.col("shared") >= spare).select("sid", "first").groupBy(F.col("first").alias("k")).agg(F.collect_list("sid").alias("sids")), "jaccard_likely")
+    likely = stage(sets.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= spare).select("sid", "first").groupBy(F.col("first").alias("k")).agg(F.collect_list("sid").alias("sids")), "jaccard_likely")
     wanted = texts.join(maybe_broadcast(likely), texts["key"] == F.col("k")).select("text", "sids")
     found = stage(wanted.mapInArrow(_sets_of, "sid long, n int, hashes binary").dropDuplicates(["sid"]), "jaccard_found")
     # 2. Blocks.
-    cut = found.mapInArrow(_ranges(ranges), "r int, hashes binary, sids binary").groupBy("r").applyInArrow(_frequencies, "sid long, hashes binary, df binary")
-    lists = cut.groupBy("sid").agg(F.collect_list(F.struct("hashes", "df")).alias("x")).select("sid", F.col("x.hashes").alias("hs"), F.col("x.df").alias("dfs"))
-    prefixes = stage(lists.join(found.select("sid", "n"), "sid").mapInArrow(_prefixes, "h long, sid long, n int"), "jaccard_prefixes")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-total // RANGE_SHINGLES))
+    cut = found.mapInArrow(_ranges(ranges), "r int, hashes binary, sids binary, ns binary").groupBy("r").applyInArrow(_frequencies(ranges), "g int, sids binary, hashes binary, ns binary, df binary")
+    prefixes = stage(cut.groupBy("g").applyInArrow(_prefixes, "h long, sid long, n int"), "jaccard_prefixes")
     order = Window.partitionBy("h").orderBy("n", "sid")
     gap = F.when(F.col("n") * LEAST > F.lag("n").over(order) * 100, 1).otherwise(0)  # sizes that no pair can span
     tied = prefixes.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -315,7 +344,6 @@ def join(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     blocks = stage(components(tied, "sid", "lead"), "jaccard_blocks").select(F.col("node").alias("sid"), F.col("component").alias("block"))
     # 3. The search in each block.
     sizes = stage(blocks.groupBy("block").agg(F.count("*").alias("members")), "jaccard_sizes")
-    total = found.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // BIN_SHINGLES), min(parts, total // 20_000))
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     held = blocks.join(sizes, "block").withColumn("chunks", chunks).join(found.select("sid", "hashes"), "sid")
