@@ -7,11 +7,17 @@ next one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, jaccard, mixing, quality, suffix_dedup
 from lacuna.llm.common import stage
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,12 +31,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that an earlier document holds are cut out of the texts; every document stays, if only empty."""
-    return suffix_dedup.cut(docs)
+    return _counted(suffix_dedup.cut(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their source's target, some in part, some several times, some not."""
-    return mixing.draw(docs, stage(mixing.mix(docs), "mix_plan"))
+    return _counted(mixing.draw(docs, stage(mixing.mix(docs), "mix_plan")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .common import text_steps, utf8
 from .words import WordTable, split_step, window_hashes, word_hashes
 
 #: Labelled rows of each class that training sees at most; the one bound on what it reads.
-SAMPLE = 1200
+SAMPLE = 800
 MIN_ROWS = 5
 BUCKETS = 1 << 15
 #: Documents with a smaller calibrated probability of good quality are rejected.
@@ -97,12 +97,13 @@ def fit(texts: list[bytes], good: np.ndarray, steps: int = 150, ridge: float = 1
     held = np.arange(len(good)) % 4 == 3
     rows = _features(texts)
     sizes = np.array([len(x[0]) for x in rows])
-    where, value = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
+    where, value = np.concatenate([x[0] for x in rows]).astype(np.int32), np.concatenate([x[1] for x in rows]).astype(np.float32)
+    row, count = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), len(rows)
+    del rows
     balance = np.where(good > 0, 0.5 / max(good[~held].mean(), 1e-9), 0.5 / max(1 - good[~held].mean(), 1e-9)) * ~held
     w, b = np.zeros(BUCKETS), 0.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
-    scores = lambda: np.bincount(row, value * w[where], len(rows)) + b
+    scores = lambda: np.bincount(row, value * w[where], count) + b
     for i in range(1, steps + 1):
         error = (1 / (1 + np.exp(-np.clip(scores(), -60, 60))) - good) * balance / (~held).sum()
         gw, gb = np.bincount(where, value * error[row], BUCKETS) + ridge * w, error.sum()
