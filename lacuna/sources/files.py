@@ -278,7 +278,7 @@ def read_catalogue_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, dic
 def write_profiles_ascii(profiles: DataFrame, path: str, columns: list[str]) -> None:
     """One line a void: void_id, then each column's bins in order."""
     wide = profiles.groupBy("void_id").agg(F.sort_array(F.collect_list(F.struct("bin", *columns))).alias("b"), F.count("*").alias("n"))
-    values = F.concat(*[F.transform("b", lambda s, c=c: s[c].cast("string")) for c in columns])
+    values = F.concat(*[F.transform(F.col(f"b.{c}"), lambda v: v.cast("string")) for c in columns])
     n = wide.agg(F.max("n")).first()[0] or 0
     text = wide.select(F.concat_ws(" ", F.array(F.col("void_id").cast("string")), values).alias("value"), F.lit(1).alias("part"), "void_id")
     head = profiles.sparkSession.createDataFrame([("#" + " ".join(["void_id", *[f"{c}_{j}" for c in columns for j in range(n)]]), 0, None)], "value string, part int, void_id long")
@@ -355,7 +355,7 @@ def _gadget_blocks(path: str) -> tuple[dict, dict, str]:
             at += 8 + size
         require(blocks.get("HEAD", (0, 0))[1] == 256, f"{path} has no header")
         raw = f.read_at(256, blocks["HEAD"][0])
-    v = struct.unpack(order + "6i6ddd2i6i2i4d", raw[:168])
+    v = struct.unpack(order + "6i6ddd2i6i2i4d", raw[:160])
     header = {"n": list(v[:6]), "mass_table": list(v[6:12]), "time": v[12], "redshift": v[13], "total": list(v[16:22]), "files": v[23], "box": v[24], "omega0": v[25], "omega_lambda": v[26], "hubble": v[27]}
     return header, blocks, order
 

@@ -98,7 +98,7 @@ def test_fits(spark, tmp_path):
     assert files.fits_key(path, "version") == 3 and files.fits_key(path, "who") == "me"
     assert files.describe(path)["tables"][0]["columns"] == ["RA", "DEC", "N"]
     with pytest.raises(Exception, match="isn't finite"):
-        files.read_fits(spark, path, {"q": "RA / nullif(N, 7)"}).collect()
+        files.read_fits(spark, path, {"q": "nullif(N, 7)"}).collect()
 
 
 def test_metadata_and_numbers(spark):
@@ -108,3 +108,24 @@ def test_metadata_and_numbers(spark):
         files.get_metadata(v, "name", int)
     got = files.numbered(spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")), ["v"]).collect()
     assert all(r["v"] == r["idx"] for r in got)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lacuna import __main__ as cli
+
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 40, (6000, 3))
+    d = p - 20
+    p = p[(d * d).sum(1) > 64]
+    spark.createDataFrame([tuple(map(float, q)) for q in p], "x double, y double, z double").write.parquet(str(tmp_path / "in"))
+    config = {"input": {"path": str(tmp_path / "in"), "box": 40.0}, "finder": {"radii": [7.0]}, "output": str(tmp_path / "out")}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    cli.main(["find", str(tmp_path / "c.json"), "--check"])
+    cli.find(spark, config)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 1 and abs(got[0]["cx"] - 20) < 3 and got[0]["metadata"]["variant"] == '"excursion-set"'
+    with pytest.raises(SystemExit, match="did you mean threshold"):
+        cli.merged({**config, "finder": {"radii": [1.0], "treshold": -0.5}})
+    assert cli.even_smooth(17) == 18 and cli.even_smooth(3) == 16
