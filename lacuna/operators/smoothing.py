@@ -94,11 +94,15 @@ def _to_pencils(packed: DataFrame, spec: GridSpec, seed: int | None = None) -> D
 
 def _spectrum_of(pdf: pd.DataFrame, n: int, surrogate: str | None):
     """The modes of a pencil slab, shape (n, n // 2 + 1), and its wavenumbers in units of the fundamental one."""
-    order = np.argsort(pdf["ix"].to_numpy())
-    f = np.fft.fft(np.stack([np.frombuffer(pdf["v"].iloc[i], complex) for i in order]), axis=0)
+    def along(column: str) -> np.ndarray:
+        rows = np.zeros((n, n // 2 + 1), complex)  # planes that the grid lacks are zero
+        rows[pdf["ix"].to_numpy()] = [np.frombuffer(v, complex) for v in pdf[column]]
+        return np.fft.fft(rows, axis=0)
+
+    f = along("v")
     iy = int(pdf["iy"].iloc[0])
     if surrogate:
-        g = np.fft.fft(np.stack([np.frombuffer(pdf["u"].iloc[i], complex) for i in order]), axis=0)
+        g = along("u")
         keep = f[0, 0]
         size = np.abs(g)
         f = np.abs(f) * (np.where(size > 0, g / np.where(size > 0, size, 1), 1) if surrogate == "phases" else g / n**1.5)

@@ -867,3 +867,68 @@ def spherical_evolution(spark, sf_dir):
 def peak_function_exact(spark, sf_dir):
     w = spark.range(12).select((F.col("id") * 0.5 - 1).alias("w"))
     return w.select("w", numeric.peak_g_exact(F.lit(0.6), F.col("w")).alias("exact"), theory.peak_g(F.lit(0.6), F.col("w")).alias("fitted"))
+
+
+@query
+def moving_barrier_abundance(spark, sf_dir):
+    return numeric.moving_barrier_size_function(tables.spectrum(spark), list(_RADII))
+
+
+@query
+def linspace_sums(spark, sf_dir):
+    from .functions import arrays
+
+    return _rounded(arrays.reduce(arrays.linspace(spark, -2.0, 7.0, 91)))
+
+
+sql("linspace_sums", "SELECT round(sum(v), 6) + 0.0e0 AS sum, min(v) AS min, max(v) AS max FROM (SELECT -2.0e0 + i*0.1e0 AS v FROM range(90) t(i) UNION ALL SELECT 7.0e0)")
+
+
+@query
+def streamed_size_counts(spark, sf_dir):
+    """The same counts as a batch query, from a stream of the part table's file."""
+    import uuid
+
+    from .core import shared_folder
+    from .streaming import incremental
+
+    parts = tables.table(spark, sf_dir, "part")
+    stream = spark.readStream.schema(parts.schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir).selectExpr("5.0e0 + p_size/5.0e0 AS r")
+    name = f"sizes_{uuid.uuid4().hex}"
+    return incremental.run_to_table(incremental.stream_size_counts(stream, 5.0, 16.0, 8), name, f"{shared_folder(spark)}/{name}")
+
+
+sql("streamed_size_counts", "SELECT least(floor((ln(r) - ln(5.0e0))*(8/(ln(16.0e0) - ln(5.0e0)))), 7)::INT AS bin, count(*) AS counts FROM (SELECT 5.0e0 + p_size/5.0e0 AS r FROM part) WHERE r BETWEEN 5 AND 16 GROUP BY 1")
+
+
+@query
+def joined_prior(spark, sf_dir):
+    """A prior catalogue in front, unchanged, and what doesn't collide with it behind."""
+    v = tables.voids(spark, sf_dir)
+    prior = v.where("void_id % 5 = 0")
+    rest = overlap.without_collisions(v.where("void_id % 5 <> 0"), prior, BOX, 0.2, 14.0)
+    return prior.select("void_id", F.lit(0).alias("part")).unionByName(rest.select("void_id", F.lit(1).alias("part")))
+
+
+sql("joined_prior", f"WITH {VO} SELECT void_id, 0 AS part FROM vo WHERE void_id % 5 = 0 UNION ALL SELECT a.void_id, 1 FROM vo a WHERE a.void_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM vo b WHERE b.void_id % 5 = 0 AND {_HIT('0.2e0')})")
+
+
+@query
+def weight_check(spark, sf_dir):
+    tr = _points(spark, sf_dir)
+    rows.check_weights(tr)
+    return tr.agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+
+
+sql("weight_check", f"WITH {TR} SELECT sum(w) AS w, count(*) AS n FROM tr")
+
+
+@query
+def sky_catalogue(spark, sf_dir):
+    from .api import Catalogue
+
+    v = Catalogue(tables.voids(spark, sf_dir), BOX).to_sky(observer=(50.0, 50.0, -2000.0))
+    return _rounded(v.to_cartesian(observer=(50.0, 50.0, -2000.0)).df, 3)
+
+
+sql("sky_catalogue", f"WITH {VO} SELECT void_id, round(cx, 3) + 0.0e0 AS cx, round(cy, 3) + 0.0e0 AS cy, round(cz, 3) + 0.0e0 AS cz, round(r, 3) + 0.0e0 AS r FROM vo")
