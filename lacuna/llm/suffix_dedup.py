@@ -29,8 +29,9 @@ from .common import key_back, key_of, maybe_broadcast, mix, partitions, stage, t
 
 DEPTH = 100
 GRAM = 32
-#: Runs of one anchor that a task compares in memory; windows of larger groups are compared as rows.
-GROUP = 20_000
+#: Runs of one anchor that a task compares in memory, a block at a time; further windows of a group are compared as rows.
+GROUP = 100_000
+BLOCK = 2048
 STEP = 1 << 18
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _TAG = (1 << 26) - 1
@@ -203,62 +204,85 @@ def _windows_of(m, doc, at, raws):
     return h, doc[which], (at[which] >> 33) + inside, at[which] & _TAG
 
 
-def _compare(limit: int):
-    """From runs with bytes, sorted by m: kind 1, windows that occur earlier, as runs; kind 2, all windows of large groups."""
+class _Group:
+    """A group of runs too large to hold: of the windows so far, sorted buckets with the first doc and start of each."""
+
+    def __init__(self, m):
+        self.m, self.runs = m, 0
+        self.h = self.doc = self.lo = np.zeros(0, np.int64)
+
+
+def _compare(limit: int, block: int = BLOCK):
+    """From runs with bytes, sorted by (m, doc, at): kind 1, windows that occur earlier, as runs.
+
+    Groups beyond block runs are settled a block at a time, in order, against the distinct windows before. Beyond limit
+    runs all further windows of the group, and the distinct ones so far, come out as kind 2, to be compared as rows.
+    """
 
     def rows(m, doc, at, kind):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (m, doc, at)] + [pa.array(np.full(len(m), kind, np.int32))], ["m", "doc", "at", "kind"])
 
-    def settle(m, doc, at, raws):
+    def settle(m, doc, at, raws, group=None):
         h, doc, lo, tag = _windows_of(m, doc, at, raws)
+        if group is not None:  # the first of each window stand in front
+            h, doc, lo, tag = (np.concatenate(x) for x in ((group.h, h), (group.doc, doc), (group.lo, lo), (np.zeros(len(group.h), np.int64), tag)))
         order = np.lexsort((lo, doc, h))
         h, doc, lo, tag = h[order], doc[order], lo[order], tag[order]
         first = _firsts(h[1:] != h[:-1])
         later = (doc != doc[first]) | (lo != lo[first])
+        if group is not None:
+            own = first == np.arange(len(h))
+            group.h, group.doc, group.lo = h[own], doc[own], lo[own]
         doc, lo, tag = doc[later], lo[later], tag[later]
         order = np.lexsort((lo, tag, doc))
         doc, lo, tag = doc[order], lo[order], tag[order]
         if not len(doc):
             return rows(doc, doc, doc, 1)
         begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (lo[1:] > lo[:-1] + 1)])
-        part = np.arange(len(lo)) - _firsts(begins[1:])
-        begins |= part % 64 == 0
+        begins |= (np.arange(len(lo)) - _firsts(begins[1:])) % 64 == 0
         at_ = np.flatnonzero(begins)
         return rows(np.zeros(len(at_)), doc[at_], _pack(lo[at_], lo[np.append(at_[1:], len(lo)) - 1] - lo[at_] + 1, tag[at_]), 1)
 
+    def proceed(group, m, doc, at, raws):
+        for s in range(0, len(m), block):
+            part = (x[s : s + block] for x in (m, doc, at, raws))
+            m_, doc_, at_, raws_ = part
+            if group.runs <= limit < group.runs + len(m_):
+                yield rows(group.h, group.doc, _pack(group.lo, 1, np.zeros(len(group.h), np.int64)), 2)
+                group.h = group.doc = group.lo = np.zeros(0, np.int64)
+            group.runs += len(m_)
+            if group.runs > limit:
+                h, d, lo, tag = _windows_of(m_, doc_, at_, raws_.tolist())
+                yield rows(h, d, _pack(lo, 1, tag), 2)
+            else:
+                yield settle(m_, doc_, at_, raws_.tolist(), group)
+
     def run(batches):
-        held = None  # runs whose groups are not complete yet
-        large = None  # the m of a group that was too large to hold
+        held, group = None, None  # runs of the last m so far, or the state of its group once it is large
         for batch in batches:
             m, doc, at = (batch.column(x).to_numpy() for x in ("m", "doc", "at"))
             raws = np.array(batch.column("bytes").to_pylist() + [None], object)[:-1]
             if held is not None:
                 m, doc, at, raws = (np.concatenate(x) for x in zip(held, (m, doc, at, raws)))
+                held = None
             if not len(m):
                 continue
-            held = None
-            cut = int(np.searchsorted(m, m[-1]))  # the last group may go on
-            ready = np.arange(len(m)) < cut
-            if large is not None or len(m) - cut > limit:
-                big = (m == large) if large is not None else np.zeros(len(m), bool)
-                if len(m) - cut > limit:
-                    big |= m == m[-1]
-                    large = m[-1]
-                elif m[-1] != large:
-                    large = None
-                if big.any():
-                    for s in range(0, int(big.sum()), 2000):
-                        some = np.flatnonzero(big)[s : s + 2000]
-                        h, d, lo, tag = _windows_of(m[some], doc[some], at[some], raws[some].tolist())
-                        yield rows(h, d, _pack(lo, 1, tag), 2)
-                ready &= ~big
-                rest = ~big & (np.arange(len(m)) >= cut)
+            if group is not None:
+                n = int(np.searchsorted(m, group.m, "right"))
+                yield from proceed(group, m[:n], doc[:n], at[:n], raws[:n])
+                m, doc, at, raws = m[n:], doc[n:], at[n:], raws[n:]
+                if not len(m):
+                    continue
+                group = None
+            cut = int(np.searchsorted(m, m[-1]))
+            if cut:
+                yield settle(m[:cut], doc[:cut], at[:cut], raws[:cut].tolist())
+            rest = (m[cut:], doc[cut:], at[cut:], raws[cut:])
+            if len(rest[0]) > block:
+                group = _Group(m[-1])
+                yield from proceed(group, *rest)
             else:
-                rest = ~ready
-            if ready.any():
-                yield settle(m[ready], doc[ready], at[ready], raws[ready].tolist())
-            if rest.any():
-                held = (m[rest], doc[rest], at[rest], raws[rest])
+                held = rest
         if held is not None:
             yield settle(held[0], held[1], held[2], held[3].tolist())
 
@@ -296,7 +320,7 @@ def _span_rows(doc, tag, lo, end, text):
     return pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(tag[starts]), *lists], ["doc", "tag", "lows", "ends"])
 
 
-def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """doc (a null id as the smallest), tag (of the text), lows, ends: the maximal spans of bytes that occurred earlier, of texts that have any."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -308,7 +332,7 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     size = lists.agg(F.count("*"), F.sum(F.size("found"))).first()
     near = maybe_broadcast(lists, max(size[0], (size[1] or 0) // 10))
     contexts = texts.join(near, texts["key"] == near["k"]).select("key", "text", "found").mapInArrow(_contexts, "m long, doc long, at long, bytes binary")
-    more = stage(contexts.repartition(n, "m").sortWithinPartitions("m", "doc", "at").mapInArrow(_compare(group), kinds), "suffix_windows")
+    more = stage(contexts.repartition(n, "m").sortWithinPartitions("m", "doc", "at").mapInArrow(_compare(group, block), kinds), "suffix_windows")
     windows = more.where("kind = 2").select("m", "doc", "at", F.shiftright("at", 33).alias("lo"))
     firsts = stage(windows.groupBy(F.col("m").alias("h")).agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1"), "suffix_firsts")
     large = windows.join(firsts, windows["m"] == firsts["h"]).where("struct(doc, lo) > first").select("m", "doc", "at", F.lit(1).alias("kind"))
@@ -335,7 +359,7 @@ def _kept(text: bytes, spans) -> tuple[bytes, int]:
     return text, 0
 
 
-def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def deduplicate(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
     def run(batches):
@@ -347,7 +371,7 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 arrays = [part.column("key"), pa.array(n), pa.array(n - left), pa.array(np.array([s for _, s in kept], np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x, _ in kept])]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"), repeats(docs, group), [key_of("doc_id").alias("key"), "text"])
+    rows = _with_spans(docs.select("doc_id", "text"), repeats(docs, group, block), [key_of("doc_id").alias("key"), "text"])
     out = rows.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(key_back("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
