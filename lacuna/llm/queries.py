@@ -57,4 +57,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.oracle(), "op2_warc": warc.ORACLE, "op5_embedding_dedup": embed_dedup.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op2_warc": warc.ORACLE, "op5_embedding_dedup": embed_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op9_jaccard_join": jaccard.ORACLE}

@@ -387,3 +387,17 @@ def cut(docs: DataFrame, group: int = GROUP) -> DataFrame:
     names = docs.columns
     rows = _with_spans(docs, repeats(docs, group), [docs[c] for c in names])
     return rows.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(kept(c, "__spans")).alias(c) if c == "text" else F.col(c) for c in names])
+
+
+ORACLE = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2*i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(length(h)//2 - 99)) AS i FROM t WHERE length(h) >= 200)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM d),
+q AS (SELECT doc_id, i, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM g),
+p AS (SELECT doc_id, part, min(i) AS lo, max(i) + 100 AS hi FROM q GROUP BY ALL),
+e AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM p GROUP BY doc_id)
+SELECT doc_id, length(h)//2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(n_spans + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2*his[j] + 1 END, CASE WHEN j = n_spans THEN length(h) ELSE 2*los[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE 2*his[j] END)), '') END)) AS kept_sha256
+FROM t LEFT JOIN e USING (doc_id)
+"""
