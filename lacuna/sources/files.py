@@ -563,6 +563,62 @@ def fits_key(path: str, key: str, hdu: int = 0):
     return fits_tables(path)[hdu]["keys"][key.upper()]
 
 
+def set_fits_key(path: str, key: str, value, hdu: int = 0) -> None:
+    """Replaces a keyword of a table's header, or adds it in the header's free space; the file is written anew."""
+    table = fits_tables(path)[hdu]
+    with open_input(path) as f:
+        raw = bytearray(f.read())
+    text = f"'{value}'" if isinstance(value, str) else ("T" if value else "F") if isinstance(value, bool) else repr(value).upper()
+    card = f"{key.upper()[:8]:<8}= {text:>20}".ljust(80).encode()
+    at = raw.rfind(b"END".ljust(80), 0, table["start"])
+    start = raw.rfind(b"XTENSION=", 0, at)
+    for i in range(start, at, 80):
+        if raw[i : i + 10] == card[:10]:
+            require((raw[i + 10 : i + 11] == b"'" or b"'" in raw[i + 10 : i + 80]) == isinstance(value, str), f"{key} is of another kind")
+            raw[i : i + 80] = card
+            break
+    else:
+        require(at + 160 <= table["start"], "the header has no free space")
+        raw[at : at + 160] = card + b"END".ljust(80)
+    with open_output(path) as f:
+        f.write(bytes(raw))
+
+
+# --- HDF5, if its library is there -----------------------------------------------------------------------------
+
+
+def read_hdf5(spark: SparkSession, path: str | list[str], columns: dict[str, str], length_scale: float = 1.0, fraction: float = 1.0, seed: int = 0) -> DataFrame:
+    """idx and columns by name, each a dataset's path, or path[k] for one of its columns; needs h5py on all executors."""
+    import re
+
+    import h5py
+
+    specs = {k: re.fullmatch(r"(.+?)(?:\[(\d+)\])?", v).groups() for k, v in columns.items()}
+    jobs, start = [], 0
+    for p in listed(path):
+        with h5py.File(p) as f:
+            sizes = {f[d].shape[0] for d, _ in specs.values()}
+        require(len(sizes) == 1, f"{p} has datasets of different lengths")
+        n = sizes.pop()
+        jobs += [(p, start, a, k) for a, k in _ranges(n)]
+        start += n
+
+    def read(p, base, a, k):
+        parts = []
+        with h5py.File(p) as f:
+            for name, (d, i) in specs.items():
+                v = np.asarray(f[d][a : a + k] if i is None else f[d][a : a + k, int(i)], float)
+                parts.append(v * length_scale if name in "xyz" else v)
+        return pa.RecordBatch.from_arrays([pa.array(base + a + np.arange(k)), *[pa.array(x) for x in parts]], ["idx", *specs])
+
+    rows_ = _ranged(spark, jobs, "idx long, " + ", ".join(f"{c} double" for c in specs), read)
+    if fraction < 1:
+        from ..operators.rows import exact_subsample
+
+        return exact_subsample(rows_, fraction, ["idx"], seed=seed)
+    return rows_
+
+
 # --- inspection ------------------------------------------------------------------------------------------------
 
 

@@ -97,6 +97,11 @@ def test_fits(spark, tmp_path):
     assert files.read_fits(spark, path, {"ra": "RA"}, fraction=0.25).count() == 25
     assert files.fits_key(path, "version") == 3 and files.fits_key(path, "who") == "me"
     assert files.describe(path)["tables"][0]["columns"] == ["RA", "DEC", "N"]
+    files.set_fits_key(path, "version", 4)
+    files.set_fits_key(path, "extra", "new")
+    assert files.fits_key(path, "version") == 4 and files.fits_key(path, "extra") == "new" and files.read_fits(spark, path, {"ra": "RA"}).count() == 100
+    with pytest.raises(CatalogueError):
+        files.set_fits_key(path, "who", 3)
     with pytest.raises(Exception, match="isn't finite"):
         files.read_fits(spark, path, {"q": "nullif(N, 7)"}).collect()
 
