@@ -90,14 +90,14 @@ def steps(sizes: np.ndarray, most: int = STEP_BYTES):
         yield slice(start, len(sizes))
 
 
-def text_steps(batches, text: str = "text"):
+def text_steps(batches, text: str = "text", most: int = STEP_BYTES):
     """(batch slice, its texts as bytes) in steps of bounded size."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(text)
         sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        for s in steps(sizes):
+        for s in steps(sizes, most):
             part = batch.slice(s.start, s.stop - s.start)
             yield part, utf8(part.column(text))
 

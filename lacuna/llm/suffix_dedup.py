@@ -93,7 +93,7 @@ def _pack(lo: np.ndarray, k, tag: np.ndarray) -> np.ndarray:
 
 def _find(batches):
     """Runs of all texts. Of equal ones in a step only the earliest is compared further; the others are known to be repeats."""
-    for part, texts in _steps(batches):
+    for part, texts in text_steps(batches, most=STEP):
         doc_of = part.column("key").to_numpy()
         ends = np.cumsum([len(t) for t in texts])
         row, lo, k, m, c = runs(b"".join(texts), ends)
@@ -111,16 +111,6 @@ def _find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(doc), pa.array(np.where(later, at ^ _COVERED, at))], ["m", "c", "doc", "at"])
 
 
-def _steps(batches):
-    from .common import steps, utf8
-
-    for batch in batches:
-        sizes = np.array([len(x) if x else 0 for x in batch.column("text").to_pylist()], np.int64)
-        for s in steps(sizes, STEP):
-            part = batch.slice(s.start, s.stop - s.start)
-            yield part, utf8(part.column("text"))
-
-
 def _firsts(changes: np.ndarray) -> np.ndarray:
     """For each row the index of the first row of its group; changes: whether rows from the second on begin one."""
     starts = np.concatenate([[True], changes])
