@@ -932,3 +932,60 @@ def sky_catalogue(spark, sf_dir):
 
 
 sql("sky_catalogue", f"WITH {VO} SELECT void_id, round(cx, 3) + 0.0e0 AS cx, round(cy, 3) + 0.0e0 AS cy, round(cz, 3) + 0.0e0 AS cz, round(r, 3) + 0.0e0 AS r FROM vo")
+
+
+@query
+def streamed_daily_values(spark, sf_dir):
+    """A histogram of event values by day, from a stream of the events table's file, with a watermark."""
+    import uuid
+
+    from .core import shared_folder
+    from .streaming import incremental
+
+    events = tables.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    name = f"values_{uuid.uuid4().hex}"
+    counts = incremental.stream_windowed_counts(stream, "ts", "1 day", "2 days", "value", 0.0, 500.0, 5)
+    return incremental.run_to_table(counts, name, f"{shared_folder(spark)}/{name}").select(F.unix_timestamp("start").alias("start"), "bin", "counts")
+
+
+sql("streamed_daily_values", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, least(floor(value*(5/500.0e0)), 4)::INT AS bin, count(*) AS counts FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1, 2")
+
+
+@query
+def unoccupied_footprint(spark, sf_dir):
+    """Voids by observed share of their sphere: the cut that a caller makes on the footprint columns."""
+    found = _Q["survey_footprints"](spark, sf_dir)
+    return found.where("footprint >= 0.5").select("void_id", "footprint")
+
+
+sql("unoccupied_footprint", "SELECT void_id, footprint FROM (" + _SQL["survey_footprints"] + ") WHERE footprint >= 0.5")
+
+
+@query
+def histogram_edges(spark, sf_dir):
+    """Rows on the edges of bins: the top edge belongs to the last one, what lies outside to none."""
+    values = spark.range(-2, 23).select((F.col("id") * 0.5).alias("v"))
+    return _rounded(measure.distribution(values, "v", 0.0, 10.0, 4), 9)
+
+
+sql("histogram_edges", "WITH v AS (SELECT i*0.5e0 AS v FROM range(-2, 23) t(i)), h AS (SELECT least(floor(v*0.4e0), 3)::INT AS bin, count(*) AS n FROM v WHERE v BETWEEN 0 AND 10 GROUP BY 1) SELECT i::INT AS bin, round(i*2.5e0, 9) AS lo, round((i + 1)*2.5e0, 9) AS hi, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0)/(25*2.5e0), 9) + 0.0e0 AS pdf FROM range(4) t(i) LEFT JOIN h ON h.bin = i")
+
+
+@query
+def nonlinear_thresholds(spark, sf_dir):
+    """The linear threshold, Lagrangian radius and barrier that belong to non-linear thresholds."""
+    d = spark.range(1, 10).select((F.col("id") / -10.0).alias("delta"))
+    linear = theory.nonlinear_to_linear(F.col("delta"))
+    return _rounded(d.select("delta", linear.alias("linear"), (8.0 * F.pow(1 + F.col("delta"), F.lit(1 / 3))).alias("radius")))
+
+
+sql("nonlinear_thresholds", "SELECT i/-10.0e0 AS delta, round(1.594e0*(1 - pow(1 - i/10.0e0, -1/1.594e0)), 6) + 0.0e0 AS linear, round(8*pow(1 - i/10.0e0, 1/3.0e0), 6) + 0.0e0 AS radius FROM range(1, 10) t(i)")
+
+
+@query
+def derivative_variances(spark, sf_dir):
+    return _rounded(theory.derivative_variance(tables.spectrum(spark), _radii(spark), gaussian=True), 7)
+
+
+sql("derivative_variances", f"WITH {_PK}, {_RA}, {_WT} SELECT radius, round(sum(weight*pow(k, 3)*pk*exp(-k*k*radius*radius))/({2 * math.pi**2!r}), 7) + 0.0e0 AS variance, round(sum(weight*pow(k, 3)*pk*pow(k*k*radius*exp(-0.5e0*k*k*radius*radius), 2))/({2 * math.pi**2!r}), 7) + 0.0e0 AS slope_variance FROM wt, ra GROUP BY radius")
