@@ -23,6 +23,7 @@ MEMO_ENTRIES = 250_000
 BROADCAST_ROWS = 200_000
 
 _own_root: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,7 +39,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lacuna-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_root(spark)}/lacuna-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this driver has written into the shared folder so far; results that still read it must have been saved."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = len(_scratch)
+    while _scratch:
+        folder = Path(_scratch.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return n
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -347,6 +347,16 @@ def test_components(spark):
     assert got == {i: i // 10 * 10 for i in range(40)} | {k: 100 for k in range(100, 160)}
 
 
+def test_release_deletes_scratch(spark):
+    import os
+
+    from lacuna.llm import common
+
+    df = common.stage(spark.range(5), "t")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.release(spark) >= 1 and not os.path.exists(path)
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     runs = [license_scan.scan(docs), sharding.shard_documents(docs), token_orc.round_trip(docs), mixing.mix(docs), quality.score(docs, None), suffix_dedup.deduplicate(docs), jaccard.join(docs), bpe.encode(docs)]
