@@ -138,14 +138,17 @@ def peak_density(nu: Column, gamma: Column, r_star: Column) -> Column:
     return F.greatest(_l(0), F.exp(-0.5 * nu * nu) / (_l(4 * math.pi**2) * r_star * r_star * r_star) * peak_g(gamma, gamma * nu))
 
 
-def peak_density_above(shapes: DataFrame, delta: float, intervals: int = 2048) -> DataFrame:
-    """radius, density: peaks above |delta|, or dips below it, by Simpson's rule in nu over 12 or more from the threshold on."""
+def peak_density_above(shapes: DataFrame, delta: float, intervals: int = 2048, g=peak_g) -> DataFrame:
+    """radius, density: peaks above |delta|, or dips below it, by Simpson's rule in nu over 12 or more from the threshold on.
+
+    g: the peak function of gamma and gamma nu; numeric.peak_g_exact is the other one.
+    """
     nodes = shapes.sparkSession.range(intervals + 1)
     rows = shapes.withColumn("nu0", _l(abs(delta)) / F.col("sigma_0")).join(F.broadcast(nodes))
     rows = rows.withColumn("h", F.greatest(_l(12), 40 / F.greatest(_l(1), F.col("nu0"))) / intervals)
     rows = rows.withColumn("nu", F.col("nu0") + F.col("h") * F.col("id"))
     rule = F.when(F.col("id").isin(0, intervals), 1).when(F.col("id") % 2 == 1, 4).otherwise(2)
-    f = rule * F.exp(-0.5 * F.col("nu") * F.col("nu")) * peak_g(F.col("gamma"), F.col("gamma") * F.col("nu"))
+    f = rule * F.exp(-0.5 * F.col("nu") * F.col("nu")) * g(F.col("gamma"), F.col("gamma") * F.col("nu"))
     sums = rows.groupBy("radius", "r_star", "h").agg(F.sum(f).alias("s"))
     return sums.select("radius", F.greatest(_l(0), F.col("s") * F.col("h") / 3 / (_l(4 * math.pi**2) * F.pow("r_star", F.lit(3)))).alias("density"))
 

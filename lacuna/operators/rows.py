@@ -165,3 +165,18 @@ def check_catalogue(voids: DataFrame, box: float | None = None, sky: bool = Fals
 
 def bits_set(df: DataFrame, words: str) -> DataFrame:
     return df.agg(F.sum(F.bit_count(words).cast("long")).alias("n_set"))
+
+
+def tally(df: DataFrame, finding: Column, radius: str = "radius", worst: Column | None = None) -> DataFrame:
+    """One row on the rows that a finding holds for: n, r_min, r_max, and the largest of a measure."""
+    hit = F.coalesce(finding, F.lit(False))
+    return df.agg(F.count_if(hit).alias("n"), F.min(F.when(hit, F.col(radius))).alias("r_min"), F.max(F.when(hit, F.col(radius))).alias("r_max"), F.max(F.when(hit, worst if worst is not None else F.lit(0.0))).alias("worst"))
+
+
+def add_columns(df: DataFrame, other: DataFrame, key: str = "idx") -> DataFrame:
+    """df with the further columns of a file that lists the same rows in the same order."""
+    require(not set(other.columns) & set(df.columns) - {key}, "both sides have a column of the same name")
+    joined = df.join(other, key, "left")
+    missing = joined.where(F.col(next(c for c in other.columns if c != key)).isNull()).limit(1).count()
+    require(not missing, "the other file has fewer rows")
+    return joined

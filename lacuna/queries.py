@@ -989,3 +989,19 @@ def derivative_variances(spark, sf_dir):
 
 
 sql("derivative_variances", f"WITH {_PK}, {_RA}, {_WT} SELECT radius, round(sum(weight*pow(k, 3)*pk*exp(-k*k*radius*radius))/({2 * math.pi**2!r}), 7) + 0.0e0 AS variance, round(sum(weight*pow(k, 3)*pk*pow(k*k*radius*exp(-0.5e0*k*k*radius*radius), 2))/({2 * math.pi**2!r}), 7) + 0.0e0 AS slope_variance FROM wt, ra GROUP BY radius")
+
+
+@query
+def high_k_tally(spark, sf_dir):
+    """Radii at which the spectrum's upper half carries more than a ten-thousandth of a moment."""
+    m = theory.moments(tables.spectrum(spark), _radii(spark))
+    return _rounded(rows.tally(m, F.col("high_k_fraction") > 1e-4, worst=F.col("high_k_fraction")))
+
+
+sql("high_k_tally", f"WITH {_PK}, {_RA}, {_MOMENTS} SELECT count(*) AS n, min(radius) AS r_min, max(radius) AS r_max, round(max(high_k_fraction), 6) + 0.0e0 AS worst FROM mo WHERE high_k_fraction > 1e-4")
+
+
+@query
+def peak_density_exact(spark, sf_dir):
+    shapes = theory.peak_shape(theory.moments(tables.spectrum(spark), _radii(spark)))
+    return theory.peak_density_above(shapes, -0.5, 256, numeric.peak_g_exact)

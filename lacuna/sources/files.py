@@ -559,6 +559,35 @@ def write_fits(df: DataFrame, path: str, name: str = "TABLE", keys: dict | None
     return path
 
 
+def write_catalogue_fits(voids: DataFrame, path: str, metadata: dict | None = None) -> str:
+    return write_fits(voids, path, "VOIDS", metadata)
+
+
+def read_catalogue_fits(spark: SparkSession, path: str) -> DataFrame:
+    names = [c[0] for c in fits_tables(path)[0]["columns"]]
+    return read_fits(spark, path, {c: c for c in names if c != "void_id"}, hdu="VOIDS").withColumnRenamed("idx", "void_id")
+
+
+def write_profiles_fits(profiles: DataFrame, path: str) -> str:
+    """void_id, bin and the measured columns, a row for each bin."""
+    return write_fits(profiles.withColumn("bin", F.col("bin").cast("long")), path, "PROFILES")
+
+
+def read_profiles_fits(spark: SparkSession, path: str) -> DataFrame:
+    table = fits_tables(path)[0]
+    rows_ = read_fits(spark, path, {c[0]: c[0] for c in table["columns"]}, hdu="PROFILES").drop("idx")
+    return rows_.withColumns({"void_id": F.col("void_id").cast("long"), "bin": F.col("bin").cast("int")})
+
+
+def write_size_function_fits(table: DataFrame, path: str) -> str:
+    return write_fits(table.withColumn("bin", F.col("bin").cast("long")), path, "SIZES")
+
+
+def read_size_function_fits(spark: SparkSession, path: str) -> DataFrame:
+    names = [c[0] for c in fits_tables(path)[0]["columns"]]
+    return read_fits(spark, path, {c: c for c in names}, hdu="SIZES").drop("idx").withColumns({"bin": F.col("bin").cast("int"), "counts": F.col("counts").cast("long")})
+
+
 def fits_key(path: str, key: str, hdu: int = 0):
     return fits_tables(path)[hdu]["keys"][key.upper()]
 

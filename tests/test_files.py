@@ -134,3 +134,25 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit, match="did you mean threshold"):
         cli.merged({**config, "finder": {"radii": [1.0], "treshold": -0.5}})
     assert cli.even_smooth(17) == 18 and cli.even_smooth(3) == 16
+
+
+def test_results_in_fits(spark, tmp_path):
+    v = spark.createDataFrame([(i, float(i), 2.0, 3.0, 1.5 + i) for i in range(6)], "void_id long, cx double, cy double, cz double, r double")
+    back = files.read_catalogue_fits(spark, files.write_catalogue_fits(v.coalesce(1), str(tmp_path / "v.fits")))
+    assert sorted(map(tuple, back.select(*v.columns).collect())) == sorted(map(tuple, v.collect()))
+    from lacuna.operators import measure
+
+    table = measure.size_function(v, 1000.0, 3)
+    again = files.read_size_function_fits(spark, files.write_size_function_fits(table, str(tmp_path / "s.fits")))
+    assert sorted(map(tuple, again.select(*table.columns).collect())) == sorted(map(tuple, table.collect()))
+    p = spark.createDataFrame([(a, b, a + b / 10) for a in range(2) for b in range(3)], "void_id long, bin int, density double")
+    assert sorted(map(tuple, files.read_profiles_fits(spark, files.write_profiles_fits(p, str(tmp_path / "p.fits"))).collect())) == sorted(map(tuple, p.collect()))
+
+
+def test_columns_of_another_file(spark):
+    from lacuna.operators import rows
+
+    a, b = spark.range(4).selectExpr("id AS idx", "id * 2.0 AS x"), spark.range(4).selectExpr("id AS idx", "id + 1.0 AS w")
+    assert [r["w"] for r in rows.add_columns(a, b).orderBy("idx").collect()] == [1, 2, 3, 4]
+    with pytest.raises(CatalogueError):
+        rows.add_columns(a, b.where("idx < 2"))
