@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..operators.overlap import accept_in_order, accept_with_displacement, witho
 from ..operators.rows import check_weights
 from ..operators.smoothing import smooth
 
+log = logging.getLogger("lacuna.finders")
 VOIDS = "void_id long, cx double, cy double, cz double, r double"
 
 
@@ -244,6 +246,9 @@ def tracer_finder(grid: DataFrame, tracers: DataFrame, spec: GridSpec, radii: li
         sized = resize(candidates, tracers, spec, density, threshold, r, reach, ladder[0] * s.search_factor if s.extend_reach else reach, weight)
         sized = materialise(climb(sized, tracers, spec, density, threshold, r, reach) if s.refine == "hill" else sized)
         n, most = sized.agg(F.count("*"), F.max("r")).first()
+        log.info("rung %g: %d voids so far, %d resized candidates up to %s", r, n_found, n, most)
+        if n and most > 2 * r:
+            log.warning("rung %g: a candidate grew to %g", r, most)
         if n:
             most = max(most, largest or 0)
             if s.displace:
