@@ -84,10 +84,14 @@ class Coder:
         return space + b"*" + run + b"|" + space + b"+"
 
     def _inner(self, fragment: bytes) -> list[bytes]:
-        """Forced cuts between two bytes that are not white space, before whole characters."""
+        """Forced cuts between two bytes that are not white space, before whole characters.
+
+        Never before an apostrophe: at the start of a part it would open a contraction, while in the whole it may belong
+        to the punctuation before it. All else in the pre-tokenizer's pattern reads the same after a cut.
+        """
         b = np.frombuffer(fragment, np.uint8)
         blank = np.isin(b, np.frombuffer(SPACES, np.uint8))
-        cut = self.forced[b[:-1], b[1:]] & ~blank[:-1] & ~blank[1:] & ((b[1:] & 0xC0) != 0x80)
+        cut = self.forced[b[:-1], b[1:]] & ~blank[:-1] & ~blank[1:] & ((b[1:] & 0xC0) != 0x80) & (b[1:] != ord("'"))
         at = [0, *(np.flatnonzero(cut) + 1).tolist(), len(fragment)]
         return [fragment[i:j] for i, j in zip(at, at[1:])]
 

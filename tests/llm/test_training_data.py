@@ -336,6 +336,18 @@ def test_bpe_equals_the_library(spark, corpus):
     assert got == want
 
 
+def test_bpe_cuts_long_fragments_like_the_library():
+    import random
+
+    c, rng = bpe.coder(None), random.Random(5)
+    letters = [*"+;{}&>`^@'''smtdrevl.ab1é’”中²_-", "'s", "'ll", "'re"]
+    texts = ["function(a,b){return(document.getElementById(a)+'message'+b)}", "a" * 50 + "^'sx", "x" * 50 + "+'m", "x" * 50 + "}'s", "x" * 50 + "”'s"]
+    texts += ["".join(rng.choices(letters, k=rng.randint(40, 120))) for _ in range(2000)]
+    for t in texts:
+        want = c.library.encode(t, add_special_tokens=False).ids
+        assert c.encode(t.encode()) == (np.array(want, "<u4").tobytes(), t.encode()), t
+
+
 def test_forced_pairs():
     f = bpe.forced_pairs([b"ab", b"abc", b"x"])
     assert not f[97, 98] and not f[98, 99] and f[97, 99] and f[120, 97]
