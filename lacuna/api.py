@@ -220,7 +220,7 @@ def find_voids(grid: Grid, tracers: Field, radii, threshold=-0.7, variant: str |
 def find_survey_voids(data: Field, randoms: Field, n: int, radii, threshold=-0.7, search_factor=2.0) -> Catalogue:
     """Voids of a survey in its own coordinates: the box around it is made and undone here."""
     box, offset = survey.survey_box(randoms.spatial().df, max(radii), min(radii), search_factor)
-    found = finders.survey_finder(rows.translate(data.spatial().df, offset), rows.translate(randoms.df, offset), GridSpec(n, box), list(radii), threshold)
+    found = finders.survey_finder(rows.translate(data.spatial().df, offset), rows.translate(randoms.df, offset), GridSpec(n, box), list(radii), threshold, weight=data.weight or randoms.weight)
     return Catalogue(rows.translate(found, tuple(-o for o in offset), ("cx", "cy", "cz")), box)
 
 

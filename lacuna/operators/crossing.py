@@ -44,16 +44,20 @@ def crossing_radius(centres: DataFrame, tracers: DataFrame, box: float, density:
     return rows.select(key, F.when(reason.isNull(), F.col("d")).alias("radius"), reason.alias("reason"))
 
 
-def survey_crossing_radius(centres: DataFrame, data: DataFrame, randoms: DataFrame, box: float, alpha: float, threshold: float, least: Column, reach: Column, most_reach: float, key: str = "void_id") -> DataFrame:
-    """As crossing_radius, in a survey: data inside d are compared with (1 + threshold) alpha times the randoms inside d."""
-    both = data.select("x", "y", "z", F.lit(1).alias("is_data"), F.lit(0).alias("is_random")).unionByName(randoms.select("x", "y", "z", F.lit(0).alias("is_data"), F.lit(1).alias("is_random")))
+def survey_crossing_radius(centres: DataFrame, data: DataFrame, randoms: DataFrame, box: float, alpha: float, threshold: float, least: Column, reach: Column, most_reach: float, key: str = "void_id", weight: str | None = None, random_weight: str | None = None) -> DataFrame:
+    """As crossing_radius, in a survey: data inside d are compared with (1 + threshold) alpha times the randoms inside d.
+
+    Both are summed by their weights, where given; data without any weight give no radius.
+    """
+    w, v = (F.col(c).cast("double") if c else F.lit(1) for c in (weight, random_weight))
+    both = data.select("x", "y", "z", w.alias("is_data"), F.lit(0).alias("is_random")).unionByName(randoms.select("x", "y", "z", F.lit(0).alias("is_data"), v.alias("is_random")))
     sized = centres.withColumns({"__least": least, "__far": reach})
     near = within(sized, both, F.col("__far"), box, most_reach, periodic=False)
     order = Window.partitionBy(key).orderBy("d2").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     peers = Window.partitionBy(key, "d2")
     near = near.withColumns({f"n_{k}": F.sum(f"is_{k}").over(order) - F.sum(f"is_{k}").over(peers) for k in ("data", "random")})
     level, d = (1 + threshold) * alpha, F.sqrt("d2")
-    good = (F.col("is_data") == 1) & (d > F.col("__least")) & (d <= F.col("__far")) & (F.col("n_random") > 0) & (F.col("n_data") <= F.lit(level) * F.col("n_random"))
+    good = (F.col("is_data") > 0) & (d > F.col("__least")) & (d <= F.col("__far")) & (F.col("n_random") > 0) & (F.col("n_data") <= F.lit(level) * F.col("n_random"))
     found = near.groupBy(key).agg(F.max(F.when(good, d)).alias("d"), F.sum("is_data").alias("all_data"), F.sum("is_random").alias("all_random"))
     rows = sized.select(key).join(found, key, "left")
     n, r = F.coalesce("all_data", F.lit(0)), F.coalesce("all_random", F.lit(0))

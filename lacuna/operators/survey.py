@@ -53,10 +53,10 @@ def close(nodes: DataFrame, k: int, spec: GridSpec) -> DataFrame:
     return grown
 
 
-def survey_contrast(data: DataFrame, randoms: DataFrame, spec: GridSpec, alpha: float, scheme: str = "cic", footprint: DataFrame | None = None) -> DataFrame:
-    """ix, iy, iz, value: data over alpha times randoms, minus one, at nodes that have randoms."""
-    a = deposit(data, spec, scheme).withColumnRenamed("value", "d")
-    b = deposit(randoms, spec, scheme).withColumnRenamed("value", "r")
+def survey_contrast(data: DataFrame, randoms: DataFrame, spec: GridSpec, alpha: float, scheme: str = "cic", footprint: DataFrame | None = None, weight: str | None = None, random_weight: str | None = None) -> DataFrame:
+    """ix, iy, iz, value: data over alpha times randoms, minus one, at nodes that have randoms; by weight, where given."""
+    a = deposit(data, spec, scheme, weight).withColumnRenamed("value", "d")
+    b = deposit(randoms, spec, scheme, random_weight).withColumnRenamed("value", "r")
     rows = b.where("r > 0").join(a, ["ix", "iy", "iz"], "left")
     rows = rows.select("ix", "iy", "iz", (F.coalesce("d", F.lit(0.0)) / (F.lit(alpha) * F.col("r")) - 1).alias("value"))
     return rows if footprint is None else rows.join(footprint, ["ix", "iy", "iz"], "left_semi")

@@ -310,7 +310,11 @@ def climb(voids: DataFrame, tracers: DataFrame, spec: GridSpec, density: float,
 
 
 def survey_finder(data: DataFrame, randoms: DataFrame, spec: GridSpec, radii: list[float], threshold: float = -0.7, settings: Settings | str = "excursion-set", weight: str | None = None) -> DataFrame:
-    """void_id, cx, cy, cz, r, depth, footprint, footprint_shell in a survey whose data and randoms lie in the box of spec."""
+    """void_id, cx, cy, cz, r, depth, footprint, footprint_shell in a survey whose data and randoms lie in the box of spec.
+
+    weight: a column of data, randoms or both; a table that lacks it counts by ones. The footprint is where randoms are,
+    whatever their weight.
+    """
     from ..operators.survey import close, closing_steps, footprint_fractions, occupied, survey_contrast
 
     s = variant(settings, threshold) if isinstance(settings, str) else settings
@@ -319,10 +323,16 @@ def survey_finder(data: DataFrame, randoms: DataFrame, spec: GridSpec, radii: li
     spark, data, randoms = data.sparkSession, materialise(data), materialise(randoms)
     n_data, n_randoms = data.count(), randoms.count()
     require(n_data > 0 and n_randoms > 0, "a survey needs data and randoms")
-    alpha = n_data / n_randoms
+    require(weight is None or weight in data.columns or weight in randoms.columns, f"neither data nor randoms have a column {weight}")
+    sums, columns = [float(n_data), float(n_randoms)], [None, None]
+    for k, tracers in enumerate((data, randoms)):
+        if weight and weight in tracers.columns:
+            check_weights(tracers, weight)
+            sums[k], columns[k] = float(tracers.agg(F.sum(weight)).first()[0]), weight
+    alpha = sums[0] / sums[1]
     nodes = materialise(occupied(randoms, spec))
     nodes = materialise(close(nodes, closing_steps(n_randoms, nodes.count()), spec))
-    grid = materialise(survey_contrast(data, randoms, spec, alpha, s.scheme or "cic", nodes))
+    grid = materialise(survey_contrast(data, randoms, spec, alpha, s.scheme or "cic", nodes, *columns))
     found = materialise(_empty(spark).withColumn("depth", F.lit(0.0)))
     for i, r in enumerate(ladder):
         rung = smooth(grid, spec, [r], scheme=s.scheme, deconvolve=s.deconvolve).drop("radius").join(nodes, ["ix", "iy", "iz"], "left_semi")
@@ -331,7 +341,7 @@ def survey_finder(data: DataFrame, randoms: DataFrame, spec: GridSpec, radii: li
         if n_found:
             candidates = materialise(without_collisions(candidates, found, spec.box, s.overlap_fraction, max(largest, r), s.overlap_scale, periodic=False))
         reach = reach_of(ladder, i, spec.cell, s.search_factor)
-        got = survey_crossing_radius(candidates.drop("r"), data, randoms, spec.box, alpha, threshold, F.lit(r), F.lit(reach), reach)
+        got = survey_crossing_radius(candidates.drop("r"), data, randoms, spec.box, alpha, threshold, F.lit(r), F.lit(reach), reach, weight=columns[0], random_weight=columns[1])
         sized = materialise(candidates.drop("r").join(got.where("radius IS NOT NULL").select("void_id", F.col("radius").alias("r")), "void_id"))
         n, most = sized.agg(F.count("*"), F.max("r")).first()
         if n:

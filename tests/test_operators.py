@@ -169,6 +169,31 @@ def test_survey_volume_of_a_shell(spark):
     assert survey.survey_volume(df, 16) == pytest.approx(math.pi * (64 - 8) / 3, rel=0.03)
 
 
+def test_survey_takes_weights(spark):
+    """Weight k counts as k tracers in the same place, for data and randoms, in the API as well."""
+    from lacuna.api import Field, find_survey_voids
+
+    rng = np.random.default_rng(8)
+    p, q = rng.uniform(20, 60, (6000, 3)), rng.uniform(20, 60, (9000, 3))
+    p = p[((p - 40) ** 2).sum(1) > 64]
+    # Half the survey is seen with half the weight in data and randoms alike; a second hole is there by weight only.
+    w = np.where(((p - [30, 30, 30]) ** 2).sum(1) < 49, 0.0, np.where(p[:, 0] < 40, 1.0, 3.0))
+    v = np.where(q[:, 0] < 40, 1.0, 3.0)
+
+    def voids(p, q, w=None, v=None):
+        found = find_survey_voids(Field.from_numpy(spark, p, w), Field.from_numpy(spark, q, v), 24, [7.0, 6.0]).df
+        return sorted([r["depth"], r["cx"], r["cy"], r["cz"], r["r"], r["footprint"]] for r in found.collect())
+
+    got, plain = voids(p, q, w, v), voids(p, q)
+    want = voids(np.repeat(p, w.astype(int), 0), q, None, v)
+    assert len(got) >= 2 and len(want) == len(got) != len(plain)
+    assert np.allclose(got, want)
+    with pytest.raises(CatalogueError, match="negative"):
+        voids(p, q, w - 1)
+    with pytest.raises(CatalogueError, match="nothing"):
+        voids(p, q, None, 0 * v)
+
+
 def test_maps_agree_with_each_other(spark):
     d = spark.createDataFrame([(-0.3,), (-1.0,), (-2.0,)], "d double")
     got = d.select(numeric.spherical_map_nonlinear(F.col("d"), "eds"), numeric.spherical_map_nonlinear(F.col("d"), "lcdm", 1.0, 0.0), theory.linear_to_nonlinear(F.col("d"))).collect()
