@@ -141,6 +141,63 @@ def test_finder_recovers_holes_in_any_partitioning_and_resumes(spark, tmp_path):
         finders.tracer_finder(grid, df, spec, [8.0, 6.5], -0.6, checkpoint=folder)
 
 
+def test_climb_by_replay(spark):
+    """Every centre climbs until its step is short, and then searches with 26 probes, as a plain loop does."""
+    p, df = points(spark, 6000, holes=[(25.0, 25.0, 25.0, 9.0)])
+    density, least, reach = len(p) / 50.0**3, 5.0, 18.0
+
+    def radius(c, low):
+        d = p - np.array(c)
+        d -= 50 * np.round(d / 50)
+        d = np.sort(np.sqrt((d * d).sum(1)))
+        d = d[d <= reach]
+        level = 0.3 * 4 / 3 * np.pi * density
+        ok = (d > low) & (np.arange(len(d)) <= level * d**3)
+        return d[ok].max() if ok.any() and len(d) > level * reach**3 else -1.0
+
+    def ascend(c, r):
+        base, step, n = r, 0.1, 0
+        while step >= 0.01:
+            n += 1
+            tries = [[(x + s * step * base * (a == b)) % 50 for b, x in enumerate(c)] for a in range(3) for s in (1, -1)]
+            v = [radius(t, min(least, r)) for t in tries]
+            if max(v) > r:
+                c, r = tries[int(np.argmax(v))], max(v)
+            else:
+                step /= 2
+        return c, r, n
+
+    def hill(c0, r0):
+        c, r, n = ascend(c0, r0)
+        for _ in range(3):
+            u = [np.array(v) / np.linalg.norm(v) for v in np.ndindex(3, 3, 3) for v in [np.array(v) - 1] if v.any()]
+            tries = [list((np.array(c) + 0.3 * r * x) % 50) for x in u]
+            v = [radius(t, 0.7 * r) for t in tries]
+            if max(v) < 0:
+                break
+            at = tries[int(np.argmax(v))]
+            end, top, _ = ascend(at, max(v))
+            if end == at or top <= 1.001 * r:
+                break
+            c, r = end, top
+        d = np.array(c) - c0
+        d -= 50 * np.round(d / 50)
+        return (c0, r0, n) if np.linalg.norm(d) > 0.5 * r0 else (c, r, n)
+
+    starts = [[25.0, 25.0, 25.0], [27.2, 25.0, 25.0], [26.5, 23.4, 26.1], [22.9, 26.2, 24.0], [24.1, 24.2, 27.3]]
+    voids = [(i, *c, radius(c, least), -0.9) for i, c in enumerate(starts)]
+    assert all(v[4] > 0 for v in voids)
+    want = [hill(list(v[1:4]), v[4]) for v in voids]
+    assert max(n for *_, n in want) > 6
+    table = spark.createDataFrame([(i, x, y, z, float(r), d) for i, x, y, z, r, d in voids], "void_id long, cx double, cy double, cz double, r double, depth double")
+    args = (df, GridSpec(16, 50.0), density, -0.7, least, reach)
+    got = {r["void_id"]: r for r in finders.climb(table, *args).collect()}
+    for i, (c, r, _) in enumerate(want):
+        assert [got[i]["cx"], got[i]["cy"], got[i]["cz"], got[i]["r"]] == pytest.approx([*c, r])
+    with pytest.raises(RuntimeError, match="did not settle"):
+        finders.climb(table, *args, rounds=6)
+
+
 def test_settings_are_refused():
     with pytest.raises(CatalogueError):
         finders.Settings(seeds="minima").check(survey=True)
