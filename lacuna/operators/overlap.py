@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +40,19 @@ def without_collisions(candidates: DataFrame, accepted: DataFrame, box: float, f
     return candidates.join(hit, "void_id", "left_anti")
 
 
-def accept_in_order(candidates: DataFrame, order: str, box: float, fraction: float, most: float, scale: float = 1.0, periodic: bool = True, rounds: int = 1000) -> DataFrame:
+def accept_in_order(candidates: DataFrame, order: str, box: float, fraction: float, most: float, scale: float = 1.0, periodic: bool = True, rounds: int | None = None) -> DataFrame:
     """The candidates that a pass in ascending order accepts, each unless it collides with one accepted before.
 
     In every round the candidates that come before all their undecided neighbours are accepted, and those that collide
-    with them are refused; what is left goes on. Equal order values are told apart by void_id.
+    with them are refused; what is left goes on, until nothing is undecided. Equal order values are told apart by void_id.
+    A round settles one candidate at least, as the first of the undecided waits for none. rounds: a bound that raises.
     """
     key = F.struct(F.col(order), F.col("void_id"))
     other = F.struct(F.col(f"o_{order}"), F.col("o_void_id"))
     pairs = collisions(candidates, candidates, box, fraction, most, scale, periodic).where("void_id <> o_void_id")
     edges = materialise(pairs.where(other < key).select("void_id", F.col("o_void_id").alias("before")))
     states = materialise(candidates.select("void_id", F.lit(None).cast("boolean").alias("taken")))
-    for _ in range(rounds):
+    for done in count(1):
         waiting = states.where("taken IS NULL").select("void_id")
         taken = states.where("taken").select(F.col("void_id").alias("before"))
         refused = edges.join(taken, "before").select("void_id").distinct()
@@ -59,6 +62,8 @@ def accept_in_order(candidates: DataFrame, order: str, box: float, fraction: flo
         states = materialise(states.where("taken IS NOT NULL").unionByName(new))
         if states.where("taken IS NULL").isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"the order of acceptance did not settle in {rounds} rounds")
     return candidates.join(states.where("taken").select("void_id"), "void_id", "left_semi")
 
 

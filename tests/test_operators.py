@@ -99,6 +99,15 @@ def test_order_of_acceptance_by_replay(spark):
         assert got == {x[0] for x in kept}
 
 
+def test_long_chains_of_acceptance_settle(spark):
+    """In a line where each collides with the next, every second one is taken; a bound that is too low raises."""
+    line = spark.createDataFrame([(i, 1.0 + i, 5.0, 5.0, 0.7, float(i)) for i in range(12)], "void_id long, cx double, cy double, cz double, r double, depth double")
+    got = {r["void_id"] for r in overlap.accept_in_order(line, "depth", 40.0, 0.0, 0.7).collect()}
+    assert got == set(range(0, 12, 2))
+    with pytest.raises(RuntimeError, match="did not settle in 4 rounds"):
+        overlap.accept_in_order(line, "depth", 40.0, 0.0, 0.7, rounds=4)
+
+
 def test_smoothing_keeps_a_constant_and_matches_numpy(spark):
     n, box = 8, 16.0
     spec = GridSpec(n, box)
