@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,6 +263,8 @@ def edges_of(centres: DataFrame, logarithmic: bool = True) -> DataFrame:
 
 # Nodes and weights of Gauss's rule with eight points, for half the interval.
 GAUSS_8 = [(0.18343464249564981, 0.36268378337836199), (0.52553240991632899, 0.31370664587788729), (0.79666647741362674, 0.22238103445337448), (0.96028985649753623, 0.10122853629037626)]
+# Fixed value: the redshift up to which distances are inverted.
+FURTHEST = 1e4
 
 
 def expansion(z: Column, omega_m: float, omega_de: float, omega_r: float = 0.0, w0: float = -1.0, wa: float = 0.0) -> Column:
@@ -297,9 +300,33 @@ def sky_to_cartesian(rows: DataFrame, observer=(0.0, 0.0, 0.0), **cosmology) ->
     return rows.withColumns({"x": x + _l(observer[0]), "y": y + _l(observer[1]), "__z": z + _l(observer[2])}).drop("z", "ra", "dec", "__d").withColumnRenamed("__z", "z")
 
 
+def _distance_to(z: float, omega_m: float = 0.3, omega_de: float = 0.7, omega_r: float = 0.0, w0: float = -1.0, wa: float = 0.0, step: float = 0.5) -> float:
+    """comoving_distance of one number."""
+    width = z / math.ceil(z / step)
+    middle = (np.arange(math.ceil(z / step)) + 0.5) * width
+    total = 0.0
+    for x, w in GAUSS_8:
+        for s in (-1, 1):
+            a = 1 + middle + s * x / 2 * width
+            dark = a ** (3 * (1 + w0 + wa)) * np.exp(-3 * wa * (a - 1) / a)
+            e = np.sqrt(omega_m * a**3 + omega_r * a**4 + (1 - omega_m - omega_de - omega_r) * a * a + omega_de * dark)
+            total += float((w / 2 * width / e).sum())
+    return HUBBLE_LENGTH * total
+
+
 def redshift_of(d: Column, steps: int = 40, most: float = 20.0, **cosmology) -> Column:
-    """The inverse of comoving_distance, by halving."""
-    start = F.struct(_l(0).alias("lo"), _l(most).alias("hi"))
+    """The inverse of comoving_distance, by halving from most on, which is doubled for distances beyond it.
+
+    Raises on distances that FURTHEST doesn't reach either.
+    """
+    bounds = [most]
+    while bounds[-1] < FURTHEST:
+        bounds.append(min(2 * bounds[-1], FURTHEST))
+    high = F.when(d.isNull(), None)
+    for z in bounds:
+        high = high.when(d <= _l(_distance_to(z, **cosmology)), _l(z))
+    high = high.otherwise(F.raise_error(F.concat(F.lit(f"no redshift up to {FURTHEST:g} reaches a distance of "), d.cast("string"))).cast("double"))
+    start = F.struct(_l(0).alias("lo"), high.alias("hi"))
 
     def halve(s, _):
         middle = (s["lo"] + s["hi"]) / 2

@@ -267,6 +267,18 @@ def test_maps_agree_with_each_other(spark):
         assert a == pytest.approx(b, abs=2e-3) and a == pytest.approx(c, abs=0.02)
 
 
+def test_redshifts_far_out_return_or_raise(spark):
+    z = [0.01, 1.0, 19.9, 25.0, 70.0]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    for cosmology in ({}, {"omega_m": 0.25, "omega_de": 0.7, "omega_r": 1e-4, "w0": -0.9, "wa": 0.1}):
+        far = spark.createDataFrame(df.select(theory.comoving_distance(F.col("z"), **cosmology).alias("d")).collect(), "d double")
+        got = [r[0] for r in far.select(theory.redshift_of(F.col("d"), **cosmology)).collect()]
+        assert got == pytest.approx(z, rel=1e-6)
+    assert spark.range(1).select(theory.redshift_of(F.lit(None).cast("double"))).first()[0] is None
+    with pytest.raises(Exception, match="no redshift up to 10000 reaches"):
+        spark.range(1).select(theory.redshift_of(F.lit(1e6))).collect()
+
+
 def test_first_crossings_of_two_steps(spark):
     cov = np.array([[1.0, 0.0], [0.0, 1.0]])
     got = {r["step"]: r["counts"] for r in numeric.first_crossing_counts(spark, cov, np.array([-1.0, -1.0]), 100_000, seed=3).collect()}
