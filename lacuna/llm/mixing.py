@@ -142,12 +142,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share: float =
 def draw(docs: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
     """The mixed documents, with docs' columns: a document once for each block that was drawn of it, cut to the block's words.
 
-    Rows equal in doc_id and text are one row here that has the blocks of all; seed must be mix()'s.
+    Rows equal in doc_id and text are numbered by source, as in mix(), and each keeps its own columns and blocks; seed
+    must be mix()'s.
     """
     names = docs.columns
-    lists = plan.where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("h0").alias("__h")).agg(F.flatten(F.collect_list("blocks")).alias("__blocks"))
-    keyed = docs.withColumns({"__h0": _row_hash(seed), "__id0": F.col("doc_id").cast("long")}).dropDuplicates(["__h0", "__id0"])
-    joined = keyed.join(lists, (keyed["__h0"] == lists["__h"]) & keyed["__id0"].eqNullSafe(lists["__id"]))
+    lists = plan.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h0").alias("__h"), F.col("source").alias("__source"), F.col("copy").alias("__copy"), F.col("blocks").alias("__blocks"))
+    keyed = docs.withColumns({"__h0": _row_hash(seed), "__id0": F.col("doc_id").cast("long"), "__source0": F.col("source").cast("string")})
+    # Of equal sources it doesn't matter to mix() which row comes first; the other columns' hash makes it the same one each time.
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind and "variant" not in kind]
+    order = ["__source0", *([F.xxhash64(*rest)] if rest else [])]
+    keyed = keyed.withColumn("__copy0", F.row_number().over(Window.partitionBy("__h0", "__id0").orderBy(*order)))
+    match = (keyed["__h0"] == lists["__h"]) & keyed["__id0"].eqNullSafe(lists["__id"]) & keyed["__source0"].eqNullSafe(lists["__source"]) & (keyed["__copy0"] == lists["__copy"])
+    joined = keyed.join(lists, match)
     joined = joined.select(*[keyed[c] for c in names], F.explode("__blocks").alias("__block"))
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("__block.words") < size_of(), F.array_join(F.slice(pieces, F.lit(1), F.col("__block.words").cast("int")), "")).otherwise(F.col("text"))

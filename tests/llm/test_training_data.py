@@ -205,6 +205,26 @@ def test_mixing_meets_targets(spark, corpus):
     assert {s: n for s, n in got.items()} == {s: sum(r["taken"] for r in rows if r["source"] == s) for s in order if target[s] > 0}
 
 
+def test_drawn_repeats_keep_their_columns(spark):
+    """Rows equal in doc_id and text, in other sources or with another column, come out as often as the plan says, as themselves."""
+    rows = [(i % 40, f"one two three {i % 40} five", "abc"[i // 40], f"lang{i}") for i in range(120)] + [(7, "one two three 7 five", "a", "more"), (None, "x y", "b", "none"), (None, "x y", None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    plan = mixing.mix(docs, shards=4)
+    got = mixing.draw(docs, plan)
+    assert got.columns == docs.columns
+    out = [tuple(r) for r in got.collect()]
+    own = {(i, s, x) for i, _, s, x in rows}
+    assert {(i, s, x) for i, _, s, x in out} <= own
+    words = Counter()
+    for _, t, s, _ in out:
+        words[s] += len(t.split())
+    assert words == Counter({r["source"]: r["n"] for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect() if r["n"]})
+    blocks = Counter()
+    for r in plan.collect():
+        blocks[r["doc_id"], r["source"]] += len(r["blocks"] or [])
+    assert Counter((i, s) for i, _, s, _ in out) == +blocks
+
+
 def test_splitting_tree_has_the_sums():
     quotas = [100, 37, 0, 5]
     m = np.array([mixing.splitting_tree(quotas, 6, s) for s in range(200)])
