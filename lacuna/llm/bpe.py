@@ -1,12 +1,13 @@
 """BPE encoding and decoding by forced-boundary splitting (operator 10).
 
 A pair of adjacent bytes that occurs inside no token of the vocabulary can never be merged across, so a
-token ends between them wherever they meet. Texts are cut at such pairs before white space (where the
-pre-tokenizer, too, keeps no context), fragments are encoded on their own, each distinct one once per
-memo, and their ids are concatenated.
+token ends between them wherever they meet. Texts are cut at all such pairs where the pre-tokenizer keeps no
+context, either; each distinct fragment is encoded once per memo, and the ids are concatenated. Texts with special
+tokens, or white space beyond ASCII, which the pre-tokenizer reads with context, go to the library whole.
 
 Null and empty texts give no ids. Repeated rows give equal rows. Very long texts are cut like others;
-fragments without a cut inside may be long and are encoded whole. Other columns are not touched.
+fragments without a cut inside may be long and are encoded whole. An empty table gives an empty one. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -15,20 +16,17 @@ import base64
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_steps
+from .common import Memo, kept, lean, text_steps
 
 SPACES = b"\t\n\x0b\x0c\r "
-#: White space outside ASCII, in UTF-8; texts with any of it are encoded whole.
+#: White space outside ASCII, in UTF-8.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-MEMO = 500_000
-LONG_FRAGMENT = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,7 +36,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def forced_pairs(tokens: list[bytes]) -> np.ndarray:
+def forced_pairs(tokens) -> np.ndarray:
     """256 x 256: whether no token holds the one byte followed by the other."""
     forced = np.ones((256, 256), bool)
     for token in tokens:
@@ -51,18 +49,15 @@ class Coder:
     """Encodes and decodes with one vocabulary file; one per worker."""
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         with open(path) as f:
             spec = json.load(f)
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = [s.encode() for s in special]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.forced = forced_pairs(list(self.bytes_of.values()))
+        del spec
+        self.forced = forced_pairs(self.bytes_of.values())
         self.bytes_of |= {i: s.encode() for s, i in special.items()}
         self.fast = None
         if ranks_path:
@@ -71,58 +66,62 @@ class Coder:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("fragments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.fragments = re.compile(self._pattern())
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def _pattern(self) -> bytes:
-        """Cuts stand before white space, but not where the pair with the byte before occurs in a token."""
-        loose = bytes(b for b in range(256) if b not in SPACES and not self.forced[b, list(SPACES)].all())
-        run = b"[^" + re.escape(SPACES) + b"]+"
-        space = b"[" + re.escape(SPACES) + b"]"
-        if loose:
-            run = b"(?:" + run + b"(?:(?<=[" + re.escape(loose) + b"])" + space + b"+)?)+"
-        return space + b"*" + run + b"|" + space + b"+"
-
-    def _inner(self, fragment: bytes) -> list[bytes]:
-        """Forced cuts between two bytes that are not white space, before whole characters.
-
-        Never before an apostrophe: at the start of a part it would open a contraction, while in the whole it may belong
-        to the punctuation before it. All else in the pre-tokenizer's pattern reads the same after a cut.
+        self.cuts = self._cuts()
+        #: Ids by fragment, and the few fragments that read otherwise when decoded.
+        self.memo, self.odd = Memo(self._entry), {}
+
+    @property
+    def library(self):
+        """The tokenizers library's own coder, once a text needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
+    def _cuts(self) -> np.ndarray:
+        """For every pair of bytes, as a number, whether texts are cut in it: forced pairs that begin white space, or lie outside it.
+
+        Inside a word never before an apostrophe: at the start of a part it would open a contraction, while in the whole it
+        may belong to the punctuation before it. All else in the pre-tokenizer's pattern reads the same after a cut. A cut
+        stands before a whole character.
         """
-        b = np.frombuffer(fragment, np.uint8)
-        blank = np.isin(b, np.frombuffer(SPACES, np.uint8))
-        cut = self.forced[b[:-1], b[1:]] & ~blank[:-1] & ~blank[1:] & ((b[1:] & 0xC0) != 0x80) & (b[1:] != ord("'"))
-        at = [0, *(np.flatnonzero(cut) + 1).tolist(), len(fragment)]
-        return [fragment[i:j] for i, j in zip(at, at[1:])]
+        byte = np.arange(256)
+        blank = np.isin(byte, list(SPACES))
+        begins = blank | (((byte & 0xC0) != 0x80) & (byte != ord("'")))
+        return (self.forced & ~blank[:, None] & begins[None, :]).ravel()
+
+    def fragments(self, text: bytes) -> list[bytes]:
+        """The text's parts between forced cuts."""
+        b = np.frombuffer(text, np.uint8)
+        at = (np.flatnonzero(self.cuts[b[:-1].astype(np.uint16) << 8 | b[1:]]) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *at], [*at, len(text)])] if len(text) else []
 
     def _ids(self, fragment: bytes) -> list[int]:
-        if self.fast is None or any(s in fragment for s in self.special):
+        if self.fast is None:
             return self.library.encode(fragment.decode(), add_special_tokens=False).ids
-        if len(fragment) <= LONG_FRAGMENT:
-            return self.fast.encode_ordinary(fragment.decode())
-        return [i for part in self._inner(fragment) for i in self.fast.encode_ordinary(part.decode())]
+        return self.fast.encode_ordinary(fragment.decode())
 
-    def _entry(self, fragment: bytes) -> tuple[bytes, bytes]:
+    def _entry(self, fragment: bytes) -> bytes:
         ids = self._ids(fragment)
-        return np.array(ids, "<u4").tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
+        decoded = b"".join(map(self.bytes_of.__getitem__, ids))
+        if decoded != fragment:
+            self.odd[fragment] = decoded
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """The ids as little-endian unsigned 32-bit integers, and what they decode to, in UTF-8."""
-        if WIDE_SPACE.search(text):
+        if WIDE_SPACE.search(text) or any(s in text for s in self.special):
             ids = self.library.encode(text.decode(), add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes(), self.decode(ids)
-        memo, fragments = self.memo, self.fragments.findall(text)
-        if len(memo) > MEMO:
-            memo.clear()
-        try:
-            found = [memo[f] for f in fragments]
-        except KeyError:
-            found = []
-            for f in fragments:
-                if (entry := memo.get(f)) is None:
-                    entry = memo[f] = self._entry(f)
-                found.append(entry)
-        return b"".join([x[0] for x in found]), _utf8(b"".join([x[1] for x in found]))
+        if len(self.odd) > 10_000:
+            self.memo, self.odd = Memo(self._entry), {}
+        fragments = self.fragments(text)
+        ids = b"".join(self.memo.all(fragments))
+        # Fragments are decoded when they are first met; all but the odd ones give themselves.
+        return ids, _utf8(b"".join([self.odd.get(f, f) for f in fragments])) if self.odd else text
 
     def decode(self, ids) -> bytes:
         return _utf8(b"".join([self.bytes_of[int(i)] for i in ids]))
@@ -136,13 +135,13 @@ def _utf8(raw: bytes) -> bytes:
     return raw
 
 
-@lru_cache(4)
 def coder(path: str | None) -> Coder:
+    """The worker's coder of a vocabulary file; by default the public one."""
     import public_tokenizers as vocabularies
 
     if path is None:
-        return Coder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
-    return Coder(path)
+        return kept("bpe", lambda: Coder(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN))
+    return kept(f"bpe {path}", lambda: Coder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -166,4 +165,4 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, keeps=True), schema)

@@ -1,32 +1,41 @@
 """Near-duplicate embeddings by spherical k-means cells and blocked cosine products (operator 5).
 
-Centres are fitted on a bounded sample. A vector is at home in the cell of its nearest centre. Two linked unit
-vectors are at most sqrt(2 - 2t) apart, so if the bisector of two cells lies between them, one of them is within
-half of that of the bisector; such vectors also visit the other cell. Every link is thus seen in some cell, and
-the comparison is exact. A cell's rows are cut into blocks and pairs of blocks are multiplied; each pair gives
-its rows' numbers of links and a spanning forest of its links, not the links, and components follow from the forests.
+Vectors meet only under one label, so every label has cells of its own: about a third of the square root of its
+rows, fitted on a bounded sample. A vector is at home in the cell of its nearest centre. Two linked unit vectors
+are at most sqrt(2 - 2t) apart, so if the bisector of two cells lies between them, one of them is within half of
+that of the bisector; such vectors also visit the other cell. Every link is thus seen in some cell, and the
+comparison is exact whatever the centres are. A cell's rows are cut into blocks and pairs of blocks are multiplied;
+each pair gives its rows' numbers of links and a spanning forest of its links, not the links, and components
+follow from the forests, which name one representative for each group.
 
 Rows with a null label, and vectors that are null, zero, or have null or non-finite components, link with nothing;
 vectors of different dimensions don't either. Repeated rows, also ones with equal ids, are vectors of their own.
-A null vec_id counts as the smallest id. Columns other than vec_id, embedding and label are not read.
+A cosine equal to the bound links. A null vec_id counts as the smallest id. An empty table gives an empty one.
+Columns other than vec_id, embedding and label, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_back, key_of, partitions, stage
+from .common import Ids, lean, lean_group, maybe_broadcast, partitions, stage
 from .components import components
 
 LEAST = 0.93
-#: Rows that k-means sees at most, and rows of the table for each centre.
+#: Rows that k-means sees at most, and centres of all labels together; labels beyond are one cell each.
 SAMPLE = 8192
-ROWS_PER_CENTRE = 4096
-MOST_CENTRES = 1024
-BLOCK = 2048
+MOST_CENTRES = 8192
+BLOCK = 8192
+
+
+def cells_for(rows: int) -> int:
+    """Cells of a label."""
+    return max(1, math.isqrt(rows) // 3)
 
 
 def fit_centres(x: np.ndarray, k: int, steps: int = 12, seed: int = 5) -> np.ndarray:
@@ -42,80 +51,101 @@ def fit_centres(x: np.ndarray, k: int, steps: int = 12, seed: int = 5) -> np.nda
     return c
 
 
-def _unit(column: pa.Array) -> list[np.ndarray | None]:
+def _units(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors in double precision) of the usable vectors, for each dimension."""
+    lists = column.cast(pa.list_(column.type.value_type))
+    values, offsets = lists.values, lists.offsets.to_numpy()
+    flat = values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+    start, width = offsets[:-1], np.diff(offsets)
+    width = np.where(lists.is_valid().to_numpy(zero_copy_only=False), width, 0)
     out = []
-    for v in column.to_pylist():
-        if v is None or any(x is None for x in v):
-            out.append(None)
-            continue
-        a = np.array(v, float)
-        big = np.abs(a).max() if len(a) and np.isfinite(a).all() else 0
-        if not big:
-            out.append(None)
-            continue
-        a = a / big
-        out.append(a / np.linalg.norm(a))
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        x = flat[start[rows][:, None] + np.arange(w)]
+        big = np.abs(x).max(1)
+        good = np.isfinite(big) & (big > 0)
+        rows, x = rows[good], x[good] / big[good][:, None]
+        if len(rows):
+            out.append((rows, x / np.linalg.norm(x, axis=1)[:, None]))
     return out
 
 
-def _visits(scores: np.ndarray, gaps: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
-    """Rows x cells: whether the row lies within reach / 2 of the bisector between its home and the cell."""
-    own = scores[np.arange(len(home)), home]
-    out = own[:, None] - scores <= reach / 2 * gaps[home] + 1e-9
+def _visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's home, and rows x cells: whether the row lies within reach / 2 of the bisector between its home and the cell."""
+    scores = x @ c.T
+    home = np.argmax(scores, 1)
+    gaps = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+    out = scores[np.arange(len(home)), home][:, None] - scores <= reach / 2 * gaps[home] + 1e-9
     out[np.arange(len(home)), home] = False
+    return home, out
+
+
+def _centres(usable: DataFrame, sample: int) -> dict[tuple[str, int], np.ndarray]:
+    """By label and dimension, for labels of several cells; MOST_CENTRES vectors in all."""
+    counts = usable.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= 36).orderBy(F.desc("n"), "label").limit(MOST_CENTRES // 2).collect()
+    wanted, left = {}, MOST_CENTRES
+    for r in counts:
+        wanted[r["label"]] = min(cells_for(r["n"]), left)
+        left -= wanted[r["label"]]
+    some = usable.orderBy(F.xxhash64("uid")).limit(sample).select("label", "embedding").toArrow() if wanted else None
+    out = {}
+    if some is not None and some.num_rows:
+        labels = np.array(some.column("label").to_pylist(), object)
+        for rows, x in _units(some.column("embedding").combine_chunks()):
+            for label in sorted(set(labels[rows])):
+                if wanted.get(label, 0) > 1:
+                    out[label, x.shape[1]] = fit_centres(x[labels[rows] == label], wanted[label])
     return out
 
 
-def _gaps(c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-
-
-def links(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(uid, n_links) and (a, b), a spanning forest of the links; vectors: uid long, label, embedding."""
-    spark = vectors.sparkSession
+    spark, block = vectors.sparkSession, block or BLOCK
     reach = float(np.sqrt(2 - 2 * least))
     usable = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).select("uid", F.col("label").cast("string").alias("label"), "embedding")
-    n = usable.count()
-    some = usable.orderBy(F.xxhash64("uid")).limit(sample).select("embedding").toArrow()
-    units = [u for u in _unit(some.column("embedding").combine_chunks()) if u is not None] if some.num_rows else []
-    widths = sorted({len(u) for u in units})
-    centres = {w: fit_centres(x := np.stack([u for u in units if len(u) == w]), max(1, min(MOST_CENTRES, n // ROWS_PER_CENTRE, len(x)))) for w in widths}
-    sent = spark.sparkContext.broadcast(centres)  # MOST_CENTRES vectors a width
-
-    def assign(batches):
-        for batch in batches:
-            ids, labels, units = batch.column("uid").to_pylist(), batch.column("label").to_pylist(), _unit(batch.column("embedding"))
-            out = {k: [] for k in ("uid", "label", "cell", "home", "unit")}
-            for w in sorted({len(u) for u in units if u is not None}):
-                at = [i for i, u in enumerate(units) if u is not None and len(u) == w]
-                x = np.stack([units[i] for i in at])
-                c = sent.value.get(w, np.eye(1, w))  # a width that the sample lacks is one cell
-                s = x @ c.T
-                home = np.argmax(s, 1)
-                visits = _visits(s, _gaps(c), home, reach)
-                for j, i in enumerate(at):
-                    for cell in [int(home[j]), *np.flatnonzero(visits[j]).tolist()]:
-                        for k, v in zip(out, (ids[i], labels[i], f"{w}:{cell}", cell == home[j], x[j].tobytes())):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["uid"], pa.int64()), pa.array(out["label"], pa.string()), pa.array(out["cell"], pa.string()), pa.array(out["home"], pa.bool_()), pa.array(out["unit"], pa.binary())], list(out))
-
-    rows = stage(usable.repartition(partitions(spark)).mapInArrow(assign, "uid long, label string, cell string, home boolean, unit binary"), "cells")
-    sizes = stage(rows.groupBy("label", "cell").agg(F.count("*").alias("size")), "cell_sizes")
-    rows = rows.join(sizes, ["label", "cell"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sent = spark.sparkContext.broadcast(_centres(usable, sample))
+
+    def assign(wide: bool):
+        """(label, cell, uid, ...) for each cell that a vector visits, its home first; cell: dimension and number."""
+
+        def run(batches):
+            for batch in batches:
+                ids, labels = batch.column("uid").to_numpy(), np.array(batch.column("label").to_pylist(), object)
+                for rows, x in _units(batch.column("embedding")):
+                    w = x.shape[1]
+                    for label in sorted(set(labels[rows])):
+                        mine = labels[rows] == label
+                        y, uid = x[mine], ids[rows[mine]]
+                        # A label or dimension that has no centres is one cell.
+                        home, visits = _visits(y, sent.value.get((label, w), np.eye(1, w)), reach)
+                        at, cell = np.nonzero(visits)
+                        at, cell = np.concatenate([np.arange(len(home)), at]), np.concatenate([home, cell])
+                        names = np.char.add(f"{w}:", cell.astype(str)) if len(cell) else np.zeros(0, str)
+                        arrays = [pa.array([label] * len(at)), pa.array(names.tolist(), pa.string())]
+                        if wide:
+                            bits = [b.tobytes() for b in np.packbits(visits, 1)]
+                            raws = [v.tobytes() for v in y]
+                            arrays += [pa.array(uid[at]), pa.array(home[at].astype(np.int32)), pa.array([bits[i] for i in at.tolist()], pa.binary()), pa.array([raws[i] for i in at.tolist()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(arrays, ["label", "cell", "uid", "home", "visits", "unit"][: len(arrays)])
+
+        return lean(run)
+
+    # Blocks of the cells that have several; counted first, so that vectors travel once.
+    sizes = usable.mapInArrow(assign(False), "label string, cell string").groupBy("label", "cell").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    sizes = stage(sizes.select(F.col("label").alias("k_label"), F.col("cell").alias("k_cell"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "cell_sizes")
+    rows = usable.mapInArrow(assign(True), "label string, cell string, uid long, home int, visits binary, unit binary")
+    rows = rows.join(maybe_broadcast(sizes), (F.col("label") == F.col("k_label")) & (F.col("cell") == F.col("k_cell")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        label, cell, i, j = (k.as_py() for k in key)
+        cell, i, j = (k.as_py() for k in key[1:])
         w, number = map(int, cell.split(":"))
-        t = table.select(["uid", "home", "own", "unit"]).combine_chunks().to_pydict()
-        uid, at_home, own = np.array(t["uid"]), np.array(t["home"]), np.array(t["own"])
-        x = np.frombuffer(b"".join(t["unit"]), float).reshape(-1, w)
-        c = sent.value.get(w, np.eye(1, w))
-        scores = x @ c.T
-        home = np.where(at_home, number, np.argmax(scores, 1))
-        visiting = _visits(scores, _gaps(c), home, reach)
+        uid, home, own = (table.column(c).to_numpy() for c in ("uid", "home", "own"))
+        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), float).reshape(-1, w)
+        visits = np.unpackbits(np.frombuffer(b"".join(table.column("visits").to_pylist()), np.uint8).reshape(len(uid), -1), axis=1)
+        at_home = home == number
         count, root = np.zeros(len(uid), np.int64), np.arange(len(uid))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
 
@@ -131,12 +161,11 @@ def links(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> tup
             hit = x[rows_] @ x[right].T >= least
             if i == j:
                 hit &= rows_[:, None] < right[None, :]
-            hit &= at_home[rows_][:, None] | at_home[right][None, :]
             a, b = np.nonzero(hit)
             a, b = rows_[a], right[b]
-            # A pair from two cells may meet in both; the cell of the smaller number has it then.
+            # A pair from two cells may meet in both; the cell of the smaller number has it then. Two guests meet at home.
             guest, host = np.where(at_home[a], b, a), np.where(at_home[a], a, b)
-            once = at_home[guest] | ~visiting[host, home[guest]] | (number < home[guest])
+            once = at_home[host] & (at_home[guest] | (number < home[guest]) | (visits[host, home[guest]] == 0))
             a, b = a[once], b[once]
             count += np.bincount(a, minlength=len(uid)) + np.bincount(b, minlength=len(uid))
             for p, q in zip(a.tolist(), b.tolist()):
@@ -151,14 +180,15 @@ def links(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> tup
         b = np.concatenate([np.full(len(some), -1), np.array([f[1] for f in forest], np.int64)])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([count[some], np.zeros(len(forest), np.int64)]), pa.int64())})
 
-    met = stage(rows.select("label", "cell", "i", "j", "uid", "home", "own", "unit").groupBy("label", "cell", "i", "j").applyInArrow(compare, "a long, b long, n long"), "cell_links")
+    met = stage(rows.select("label", "cell", "i", "j", "uid", "home", "own", "visits", "unit").groupBy("label", "cell", "i", "j").applyInArrow(lean_group(compare), "a long, b long, n long"), "cell_links")
     return met.where("b < 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links")), met.where("b >= 0").select("a", "b")
 
 
-def deduplicate(vectors: DataFrame, least: float = LEAST) -> DataFrame:
+def deduplicate(vectors: DataFrame, least: float = LEAST, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = stage(vectors.select(key_of("vec_id").alias("vec_id"), "embedding", "label").withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    counts, forest = links(rows, least)
+    keys = Ids(vectors, "vec_id")
+    rows = stage(vectors.select(keys.key.alias("vec_id"), "embedding", "label").withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    counts, forest = links(rows, least, block=block)
     groups = stage(components(forest, "a", "b"), "groups")
     ids = rows.select("uid", "vec_id")
     members = ids.join(groups, ids["uid"] == groups["node"])
@@ -166,7 +196,7 @@ def deduplicate(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     found = stage(members.select("uid", "component").join(firsts, "component").select(F.col("uid").alias("k"), "component_id"), "members")
     out = ids.join(counts, "uid", "left").join(found, ids["uid"] == found["k"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select(key_back("vec_id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(component != F.lit(-(2**63)), component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select(keys.back("vec_id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), keys.back(component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 ORACLE = """

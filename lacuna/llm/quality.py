@@ -1,14 +1,18 @@
 """Quality rules (operator 7): a classifier on hashed word and character n-grams beside fixed counting rules.
 
-The classifier is a logistic regression on hashed features: words, pairs of adjacent words, and three-byte grams
-of words with a blank on either side, each kind averaged over the text. It is trained on a bounded sample of the
-labelled rows (SAMPLE per class, chosen by a hash of doc_id), its scores are calibrated by a logistic curve
-fitted on rows held out from training, and the calibrated probability of good quality is compared with a fixed
-threshold. Texts are scored in Arrow batches; each worker keeps a word's weight once computed.
-
-Null texts have no words and fail by the rule on n_words, as empty ones do. Repeated rows get equal results. Rows
-without a label are scored like others; labels of unknown documents are ignored. With fewer than MIN_ROWS
-sampled rows of either class nothing is learned and the base rules alone decide.
+The classifier is a logistic regression on hashed features: words, pairs of adjacent words, and grams of three
+characters of words with a blank on either side, each kind averaged over the text. It is trained on a bounded sample
+of the labelled rows (SAMPLE per class, chosen by a hash of doc_id; of rows that repeat an id, the text with the
+least hash counts), whose features are taken in tasks: the driver gets BUCKETS numbers a row at most. Its scores
+are calibrated by a logistic curve fitted on rows held out from training, and the calibrated probability of good
+quality is compared with a fixed threshold. Texts are scored in Arrow batches; each worker keeps a word's weight
+once computed, in tables of bounded size.
+
+Null texts have no words and fail by the rule on n_words, as empty ones do. Repeated rows get equal results, ties
+at the threshold are kept. Rows without a label are scored like others; labels of unknown documents are ignored.
+With fewer than MIN_ROWS sampled rows of either class nothing is learned and the base rules alone decide. A very
+long text is scored whole, on its own. An empty table gives an empty one. Other columns, whatever their names,
+are passed on by keep() and not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_steps, utf8
+from .common import give_back, kept, lean, text_steps
 from .words import WordTable, split_step, window_hashes, word_hashes
 
 #: Labelled rows of each class that training sees at most; the one bound on what it reads.
@@ -55,13 +59,13 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' three-byte grams, one after another, and the number of each word's; as many as it has bytes."""
-    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1)
-    keep = np.ones(len(b) - 2, bool)
-    keep[ends[:-1] - 1] = False  # the gram around the blank between two words
-    g = b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)
+    """Buckets of the words' grams of three characters, one after another, and the number of each word's; as many as it has."""
+    c = np.frombuffer((b" " + b" ".join(words) + b" ").decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.flatnonzero(c == ord(" "))  # words hold no blanks
+    sizes = np.diff(ends) - 1
+    keep = np.ones(len(c) - 2, bool)
+    keep[ends[1:-1] - 1] = False  # the gram around the blank between two words
+    g = c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)
     return _bucket(g[keep], 3), sizes
 
 
@@ -89,17 +93,15 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return h[:-1] * np.uint64(31) ^ h[1:]
 
 
-def fit(texts: list[bytes], good: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> Model | None:
-    """Trains on three quarters of the rows and calibrates on the rest."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> Model | None:
+    """Trains on three quarters of the rows, given by their features, and calibrates on the rest."""
     good = np.asarray(good, float)
     if min(good.sum(), len(good) - good.sum()) < MIN_ROWS:
         return None
     held = np.arange(len(good)) % 4 == 3
-    rows = _features(texts)
     sizes = np.array([len(x[0]) for x in rows])
     where, value = np.concatenate([x[0] for x in rows]).astype(np.int32), np.concatenate([x[1] for x in rows]).astype(np.float32)
     row, count = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), len(rows)
-    del rows
     balance = np.where(good > 0, 0.5 / max(good[~held].mean(), 1e-9), 0.5 / max(1 - good[~held].mean(), 1e-9)) * ~held
     w, b = np.zeros(BUCKETS), 0.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
@@ -132,12 +134,24 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0] / (np.abs(z).max() + 1e-9)), float(theta[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most most rows of each class, the same ones on every run."""
-    good = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("good")).withColumn("at", F.xxhash64("id"))
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of at most most rows of each class, the same ones on every run."""
+    good = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("good"))
+    # A document labelled both ways has no label.
+    good = good.groupBy("id").agg(F.min("good").alias("good"), F.max("good").alias("top")).where("good = top").select("id", "good", F.xxhash64("id").alias("at"))
     chosen = good.where("good = 1").orderBy("at", "id").limit(most).union(good.where("good = 0").orderBy("at", "id").limit(most))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("at", "good", "text").toArrow().sort_by([("at", "ascending"), ("good", "ascending")])
-    return utf8(rows.column("text").combine_chunks()), rows.column("good").to_numpy()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "good", "at").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+
+    def run(batches):
+        for part, raws in text_steps(batches):
+            found = _features(raws)
+            where, value = (pa.array([f[k].astype(t).tobytes() for f in found], pa.binary()) for k, t in ((0, np.int32), (1, np.float32)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("good"), part.column("at"), where, value], ["id", "good", "at", "places", "amounts"])
+
+    rows = texts.mapInArrow(lean(run), "id long, good int, at long, places binary, amounts binary").toArrow().sort_by([("at", "ascending"), ("id", "ascending")])
+    features = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32)) for a, b in zip(rows.column("places").to_pylist(), rows.column("amounts").to_pylist())]
+    return features, rows.column("good").to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
@@ -201,17 +215,18 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # BUCKETS numbers
 
     def run(batches):
-        scorer = Scorer(sent.value)
+        name, own = sent.value
+        scorer = kept(f"quality {name}", lambda: Scorer(own))
         for part, texts in text_steps(batches):
             x = scorer.score(texts)
             failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MOST_REPEATED * x["n_words"])
             x = {"doc_id": part.column("doc_id")} | {k: pa.array(v) for k, v in x.items() if k != "probability"} | {"base_failed": pa.array(failed), "kept": pa.array(~failed & (x["probability"] >= threshold)), "probability": pa.array(np.round(x["probability"], 6))}
             yield pa.RecordBatch.from_pydict(x)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, keeps=True), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,24 +234,14 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     @F.arrow_udf("boolean")
-    def kept(text: pa.Array) -> pa.Array:
-        scorer, out = _scorer(sent), []
+    def good(text: pa.Array) -> pa.Array:
+        name, own = sent.value
+        scorer, out = kept(f"quality {name}", lambda: Scorer(own)), []
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         for _, texts in text_steps([batch]):
             x = scorer.score(texts)
             out.append((x["n_words"] >= MIN_WORDS) & (100 * x["n_repeat_words"] <= MOST_REPEATED * x["n_words"]) & (x["probability"] >= threshold))
+        give_back()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return docs.where(kept(docs["text"]))
-
-
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(sent) -> Scorer:
-    """The scorer of the model that this worker has met last."""
-    name, model = sent.value
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(model)
-    return _scorers[name]
+    return docs.where(good(docs["text"]))

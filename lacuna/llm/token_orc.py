@@ -7,7 +7,8 @@ ids reads a few stripes; large files are split by stripe among readers. A docume
 block plus the lengths of the blocks before, of which there are as many as write tasks.
 
 Null and empty texts hold the end id alone. Null doc_id sorts first. Repeated ids stay separate rows, ordered by
-a hash of their text; equal rows are interchangeable. An empty table gives no files' rows.
+a hash of their text; equal rows are interchangeable. An empty table gives no files' rows. A very long text is one
+row of its range; the other ranges don't wait for it. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import partitions, scratch, text_steps
+from .common import MEMO_BYTES, Memo, kept, lean, parts_for, scratch, text_steps
 
 END_ID = 2
-MEMO = 500_000
+#: Text bytes of a block, about.
+BLOCK_BYTES = 64 << 20
 #: Chunks of printable ASCII and Latin-1 letters: lower-casing and NFC are plain there.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 ORC = {
@@ -68,51 +69,34 @@ class WordCoder:
             ranks[raw(left) + raw(right)] = 512 + i
             self.id_of[512 + i] = vocab[left + right]
         self.core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.pieces: dict[str, bytes] = {}
-        self.memo: dict[bytes, bytes] = {}
+        self.pieces, self.memo = Memo(self._piece, MEMO_BYTES // 2), Memo(self._chunk, MEMO_BYTES // 2)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.pieces[piece] = np.array([self.id_of[r] for r in self.core.encode_single_piece(piece.encode() + b"\xff")], "<u4").tobytes()
-        return found
+        return np.array([self.id_of[r] for r in self.core.encode_single_piece(piece.encode() + b"\xff")], "<u4").tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         text = text.lower()
-        return self._piece(text) if text.isalpha() else b"".join(map(self._piece, self.words.findall(text)))
+        return self.pieces[text] if text.isalpha() else b"".join(self.pieces.all(self.words.findall(text)))
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        memo, chunks = self.memo, text.split()
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            out = []
-            for c in chunks:
-                if (ids := memo.get(c)) is None:
-                    ids = memo[c] = self._chunk(c)
-                out.append(ids)
-            return b"".join(out)
-
-
-@lru_cache(4)
+        return b"".join(self.memo.all(text.split()))
+
+
 def word_coder(path: str | None) -> WordCoder:
+    """The worker's coder of a vocabulary file; by default the public one."""
     import public_tokenizers as vocabularies
 
-    return WordCoder(path or vocabularies.path("word_bpe_49k.json"))
+    path = path or vocabularies.path("word_bpe_49k.json")
+    return kept(f"words {path}", lambda: WordCoder(path))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, blocks: int | None = None) -> None:
     """Writes the ids of every document, each with end_id behind, into ORC files in ascending doc_id order."""
-    spark = docs.sparkSession
-    blocks = blocks or max(1, partitions(spark))
+    blocks = blocks or parts_for(docs, most=BLOCK_BYTES)
     ordered = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").repartitionByRange(blocks, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
@@ -129,7 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             arrays = [part.column("doc_id"), pa.array(np.full(len(sizes), block, np.int32)), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4"))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "block", "block_start", "n_tokens", "ids"])
 
-    ordered.mapInArrow(run, "doc_id long, block int, block_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
+    ordered.mapInArrow(lean(run, keeps=True), "doc_id long, block int, block_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
-from .common import MEMO_ENTRIES
+from .common import ENTRY_BYTES, MEMO_BYTES
 
 
 class _Numbers(dict):
@@ -31,16 +31,18 @@ class WordTable:
     def reset(self):
         self.numbers = _Numbers()
         self.columns: list[np.ndarray] = []
+        self.held = 0
 
     def start(self):
         """To be called between steps: numbers given so far may lose their meaning."""
-        if len(self.numbers) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.reset()
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if self.numbers.new:
             new = self.features(self.numbers.new)
+            self.held += sum(map(len, self.numbers.new)) + ENTRY_BYTES * len(self.numbers.new)
             self.numbers.new.clear()
             self.columns = [np.concatenate(x) for x in zip(self.columns, new, strict=True)] if self.columns else new
         return ids, self.columns
