@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, jaccard, mixing, quality, suffix_dedup
-from lacuna.llm.common import stage
+from lacuna.llm.common import release, stage, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by their source's target, some in part, some several times, some not."""
+    """Documents are drawn by their source's target, some in part, some several times, some not, and mixed: by shard, in slot order."""
     return _counted(mixing.draw(docs, stage(mixing.mix(docs), "mix_plan")))
 
 
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline_{name}")
+        release(spark, since=before, keep=1)  # what led to the stage's rows; the rows stay
     return STAGES[-1][1](spark, docs, sf_dir)
