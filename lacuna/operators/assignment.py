@@ -30,21 +30,49 @@ def axis_weights(u: Column, scheme: str) -> list[tuple[Column, Column]]:
     return [(i - 1, s * s * s / 6), (i, (4 - 6 * t * t + 3 * t * t * t) / 6), (i + 1, (4 - 6 * s * s + 3 * s * s * s) / 6), (i + 2, t * t * t / 6)]
 
 
+#: For each scheme: whether positions count from the nearest node rather than from the one below, and for each node that
+#: a tracer reaches along an axis its offset and its weight, a polynomial in the position t counted so.
+KERNELS = {
+    "ngp": (True, [(0, (1.0,))]),
+    "cic": (False, [(0, (1.0, -1.0)), (1, (0.0, 1.0))]),
+    "tsc": (True, [(-1, (0.125, -0.5, 0.5)), (0, (0.75, 0.0, -1.0)), (1, (0.125, 0.5, 0.5))]),
+    "pcs": (False, [(-1, (1 / 6, -0.5, 0.5, -1 / 6)), (0, (2 / 3, 0.0, -1.0, 0.5)), (1, (1 / 6, 0.5, 0.5, -0.5)), (2, (0.0, 0.0, 0.0, 1 / 6))]),
+}
+
+
 def deposit(tracers: DataFrame, spec: GridSpec, scheme: str = "cic", weight: str | None = None, shift: float = 0.0) -> DataFrame:
     """ix, iy, iz, value: weight per unit volume at nodes that got any; shift: of the grid, in cells.
 
-    Each tracer becomes one array of its nodes, and the sums are taken on both sides of the shuffle.
+    A tracer's weights at its nodes are polynomials of its place in its cell, so a cell's tracers count by their moments:
+    these are summed on both sides of the shuffle, and only cells, not tracers, are spread over nodes, an axis at a time.
     """
-    parts = []
+    require(scheme in KERNELS, f"unknown scheme {scheme}")
+    near, kernel = KERNELS[scheme]
+    n, powers = F.lit(spec.n), range(len(kernel[0][1]))
+    places, cells = {}, []
     for c in "xyz":
         u = F.col(c) / F.lit(spec.cell) - F.lit(shift)
-        parts.append(F.array(*[F.struct(F.pmod(i, F.lit(spec.n)).cast("int").alias("i"), w.alias("w")) for i, w in axis_weights(u, scheme)]))
-    df = tracers.select(*[p.alias(f"__{c}") for p, c in zip(parts, "xyz")], (F.col(weight) if weight else F.lit(1.0)).alias("__m"))
-    for c in "xyz":
-        df = df.withColumn(f"__{c}", F.explode(f"__{c}"))
-    mass = F.col("__m") * F.col("__x.w") * F.col("__y.w") * F.col("__z.w")
-    df = df.select(F.col("__x.i").alias("ix"), F.col("__y.i").alias("iy"), F.col("__z.i").alias("iz"), mass.alias("mass"))
-    return df.groupBy("ix", "iy", "iz").agg((F.sum("mass") / F.lit(spec.cell**3)).alias("value"))
+        i = F.floor(u + 0.5) if near else F.floor(u)
+        cells.append(F.pmod(i, n).cast("int").alias(f"i{c}"))
+        places[c] = (u - i).alias(f"t{c}")
+    rows = tracers.select(*cells, *places.values(), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("m"))
+
+    def power(c: str, k: int) -> Column:
+        out = F.col(f"t{c}") if k else F.lit(1.0)
+        for _ in range(k - 1):
+            out = out * F.col(f"t{c}")
+        return out
+
+    moments = [(a, b, c) for a in powers for b in powers for c in powers]
+    sums = rows.groupBy("ix", "iy", "iz").agg(*[F.sum(F.col("m") * power("x", a) * power("y", b) * power("z", c)).alias(f"m{a}{b}{c}") for a, b, c in moments])
+    left = [f"{a}{b}{c}" for a, b, c in moments]
+    for axis in "xyz":
+        rest = sorted({name[1:] for name in left})
+        spread = F.array(*[F.struct(F.pmod(F.col(f"i{axis}") + off, n).cast("int").alias("i"), *[sum((F.lit(w) * F.col(f"m{k}{name}") for k, w in enumerate(weights) if w), F.lit(0.0)).alias(f"m{name}") for name in rest]) for off, weights in kernel])
+        others = [f"i{c}" for c in "xyz" if c != axis]
+        sums = sums.select(*others, F.explode(spread).alias("s")).select(*others, F.col("s.i").alias(f"i{axis}"), *[F.col(f"s.m{name}") for name in rest])
+        left = rest
+    return sums.groupBy("ix", "iy", "iz").agg((F.sum("m") / F.lit(spec.cell**3)).alias("value"))
 
 
 def spine(spark, spec: GridSpec) -> DataFrame:

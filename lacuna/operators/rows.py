@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import CatalogueError, require
+from ..core import CatalogueError, materialise, require
 
 AXES = ("x", "y", "z")
 #: Units in the last place by which a coordinate may miss the box and still be folded in.
@@ -128,7 +128,8 @@ def exact_subsample(df: DataFrame, fraction: float, key: list[str], draw: Column
 
 
 def contrast(df: DataFrame, value: str = "value") -> DataFrame:
-    """value / mean - 1; the mean must be positive."""
+    """value / mean - 1; the mean must be positive. df is written down first, so that it is made once."""
+    df = materialise(df)
     mean = df.agg(F.avg(value)).first()[0]
     require(mean is not None and mean > 0, f"the mean is {mean}")
     return df.withColumn(value, F.col(value) / F.lit(mean) - 1)
