@@ -1,7 +1,8 @@
 """Smoothing on the grid by planes and pencils of a three-dimensional Fourier transform.
 
 Planes of constant ix are transformed in y and z by one task each, dealt anew into pencils of constant iy, transformed
-and filtered along x, and brought back the same way. A task holds one plane of n * n values.
+and filtered along x, and brought back the same way. A task holds one plane of n * n values. Grids of up to WHOLE nodes a
+side, 16 MB, are transformed by one task for each radius instead; results are the same.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import GridSpec, require
 from .assignment import SCHEMES
 
+#: Nodes a side of grids that one task transforms as a whole.
+WHOLE = 128
+
 
 def top_hat(kr: np.ndarray) -> np.ndarray:
     safe = np.where(kr > 1e-4, kr, 1.0)
@@ -112,6 +117,28 @@ def _spectrum_of(pdf: pd.DataFrame, n: int, surrogate: str | None):
     return f, k[:, None], np.array([[k[iy]]]), np.arange(n // 2 + 1)[None, :].astype(float)
 
 
+def _whole_spectrum(table: pa.Table, n: int, surrogate: str | None, seed: int):
+    """The modes of a whole grid, shape (n, n, n // 2 + 1), and the wavenumbers of the axes; nodes that it lacks are zero."""
+    ix, iy, iz = (table.column(f"i{c}").to_numpy() for c in "xyz")
+    cube = np.zeros((n, n, n))
+    cube[ix, iy, iz] = table.column("value").to_numpy()
+    f = np.fft.rfftn(cube)
+    if surrogate:
+        for i in range(n):
+            cube[i] = _noise(seed, i, n) if (ix == i).any() else 0.0
+        f = _shuffled(f, np.fft.rfftn(cube), surrogate, n)
+    k = np.fft.fftfreq(n, 1 / n)
+    return f, k[:, None, None], k[None, :, None], np.arange(n // 2 + 1)[None, None, :].astype(float)
+
+
+def _shuffled(f: np.ndarray, g: np.ndarray, surrogate: str, n: int) -> np.ndarray:
+    """Modes of the size of f with the phases of g, or with all of g's chance; the mean stays."""
+    size = np.abs(g)
+    out = np.abs(f) * (np.where(size > 0, g / np.where(size > 0, size, 1), 1) if surrogate == "phases" else g / n**1.5)
+    out[0, 0, 0] = f[0, 0, 0]
+    return out
+
+
 def smooth(grid: DataFrame, spec: GridSpec, radii: list[float], kind: str = "top-hat", scheme: str | None = None, deconvolve: str = "full", interlaced: bool = False, extra: float = 0.0, surrogate: str | None = None, seed: int = 0) -> DataFrame:
     """radius, ix, iy, iz, value: the grid smoothed on each radius.
 
@@ -121,16 +148,30 @@ def smooth(grid: DataFrame, spec: GridSpec, radii: list[float], kind: str = "top
     require(surrogate in (None, "phases", "gaussian"), f"unknown surrogate {surrogate}")
     n, unit = spec.n, 2 * math.pi / spec.box
 
+    def response(kx, ky, kz, r: float) -> np.ndarray:
+        kr = unit * np.sqrt(kx * kx + ky * ky + kz * kz) * r
+        w = top_hat(kr) if kind == "top-hat" else gaussian(kr)
+        return w * gaussian(kr * extra) if extra else w
+
+    if n <= WHOLE:
+
+        def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            r = key[0].as_py()
+            f, kx, ky, kz = _whole_spectrum(table, n, surrogate, seed)
+            f *= correction(kx, ky, kz, n, scheme, deconvolve, interlaced)
+            v = np.fft.irfftn(f * response(kx, ky, kz, r), (n, n, n)).ravel()
+            at = np.arange(n**3, dtype=np.int32)
+            return pa.table({"radius": np.full(n**3, r), "ix": at // n**2, "iy": at // n % n, "iz": at % n, "value": v})
+
+        rows = grid.select(F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius"), "ix", "iy", "iz", F.col("value").cast("double").alias("value"))
+        return rows.groupBy("radius").applyInArrow(whole, "radius double, ix int, iy int, iz int, value double")
+
     def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
         f, kx, ky, kz = _spectrum_of(pdf, n, surrogate)
         f = f * correction(kx, ky, kz, n, scheme, deconvolve, interlaced)
-        k = unit * np.sqrt(kx * kx + ky * ky + kz * kz)
         iy, out = int(pdf["iy"].iloc[0]), []
         for r in radii:
-            g = f * (top_hat(k * r) if kind == "top-hat" else gaussian(k * r))
-            if extra:
-                g = g * gaussian(k * r * extra)
-            back = np.fft.ifft(g, axis=0)
+            back = np.fft.ifft(f * response(kx, ky, kz, r), axis=0)
             out += [(r, i, iy, row.tobytes()) for i, row in enumerate(back)]
         return pd.DataFrame(out, columns=["radius", "ix", "iy", "v"])
 
@@ -174,8 +215,7 @@ def grid_moments(grid: DataFrame, spec: GridSpec, radii: list[float], order: int
     check_radii(radii, spec)
     n, unit = spec.n, 2 * math.pi / spec.box
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, kx, ky, kz = _spectrum_of(pdf, n, surrogate)
+    def added(f, kx, ky, kz) -> pd.DataFrame:
         c = correction(kx, ky, kz, n, scheme, deconvolve, interlaced)
         k2 = kx * kx + ky * ky + kz * kz
         twice = np.where((kz == 0) | ((n % 2 == 0) & (kz == n // 2)), 1.0, 2.0) * (k2 > 0)
@@ -188,6 +228,15 @@ def grid_moments(grid: DataFrame, spec: GridSpec, radii: list[float], order: int
                 out.append((r, j, p.sum(), p[np.broadcast_to(k2 > (n / 4) ** 2, p.shape)].sum()))
         return pd.DataFrame(out, columns=["radius", "order", "total", "high"])
 
-    parts = _to_pencils(planes(grid, spec), spec, seed if surrogate else None).groupBy("iy").applyInPandas(sums, "radius double, order int, total double, high double")
+    schema = "radius double, order int, total double, high double"
+    if n <= WHOLE:
+
+        def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            out = added(*_whole_spectrum(table, n, surrogate, seed))
+            return pa.Table.from_pandas(out.astype({"order": "int32"}), preserve_index=False)
+
+        parts = grid.select(F.lit(0).alias("one"), "ix", "iy", "iz", F.col("value").cast("double").alias("value")).groupBy("one").applyInArrow(whole, schema)
+    else:
+        parts = _to_pencils(planes(grid, spec), spec, seed if surrogate else None).groupBy("iy").applyInPandas(lambda pdf: added(*_spectrum_of(pdf, n, surrogate)), schema)
     rows = parts.groupBy("radius", "order").agg(F.sum("total").alias("t"), F.sum("high").alias("h"))
     return rows.select("radius", "order", F.when(F.col("t") > 0, F.sqrt("t")).otherwise(0.0).alias("sigma"), F.when(F.col("t") > 0, F.col("h") / F.col("t")).otherwise(0.0).alias("high_k_fraction"))

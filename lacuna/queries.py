@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid_sql
 from .core import GridSpec, materialise
 from .functions import numeric, theory
 from .operators import assignment, crossing, measure, overlap, rows, smoothing, spatial, survey, tessellation
@@ -173,14 +174,20 @@ def payload_checksums(spark, sf_dir):
     return tables.table(spark, sf_dir, "supplier").select("s_suppkey", F.crc32(F.col("s_name").cast("binary")).alias("crc"))
 
 
+# The checksum's table follows from its polynomial, a bit at a time; then a step for each byte.
+sql("payload_checksums", """WITH t AS (SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+s AS (SELECT s_suppkey, list_transform(range(octet_length(encode(s_name))), lambda i: ('0x' || substr(hex(encode(s_name)), 2*i + 1, 2))::BIGINT) AS bytes FROM supplier)
+SELECT s_suppkey, xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS crc FROM s, t""")
+
+
 # --- grids -----------------------------------------------------------------------------------------------------
 
 
-def _deposit_sql(scheme: str, n: int) -> str:
+def _deposit_sql(scheme: str, n: int, table: str = "tr", mass: str = "w", out: str = "g", shift: float = 0.0) -> str:
     cell = BOX / n
     parts = []
     for c in "xyz":
-        u = f"({c}/{cell!r})"
+        u = f"({c}/{cell!r} - {shift!r})" if shift else f"({c}/{cell!r})"
         if scheme == "ngp":
             w = f"[{{'i': floor({u} + 0.5e0), 'w': 1.0e0}}]"
         elif scheme == "cic":
@@ -196,8 +203,9 @@ def _deposit_sql(scheme: str, n: int) -> str:
             w = f"[{{'i': {i} - 1, 'w': {s}*{s}*{s}/6}}, {{'i': {i}, 'w': (4 - 6*{t}*{t} + 3*{t}*{t}*{t})/6}}, {{'i': {i} + 1, 'w': (4 - 6*{s}*{s} + 3*{s}*{s}*{s})/6}}, {{'i': {i} + 2, 'w': {t}*{t}*{t}/6}}]"
         parts.append(f"{w} AS a{c}")
     wrap = lambda c: f"((p{c}.i + {n}) % {n})::INT AS i{c}"
-    return f"""s AS (SELECT w AS m, {", ".join(parts)} FROM tr), ex AS (SELECT m, unnest(ax) AS px, ay, az FROM s), ey AS (SELECT m, px, unnest(ay) AS py, az FROM ex), ez AS (SELECT m, px, py, unnest(az) AS pz FROM ey),
-g AS (SELECT ix, iy, iz, sum(m)/{cell**3!r} AS value FROM (SELECT {wrap("x")}, {wrap("y")}, {wrap("z")}, m*px.w*py.w*pz.w AS m FROM ez) GROUP BY ix, iy, iz)"""
+    o = "" if out == "g" else out
+    return f"""{o}s AS (SELECT {mass} AS m, {", ".join(parts)} FROM {table}), {o}ex AS (SELECT m, unnest(ax) AS px, ay, az FROM {o}s), {o}ey AS (SELECT m, px, unnest(ay) AS py, az FROM {o}ex), {o}ez AS (SELECT m, px, py, unnest(az) AS pz FROM {o}ey),
+{out} AS (SELECT ix, iy, iz, sum(m)/{cell**3!r} AS value FROM (SELECT {wrap("x")}, {wrap("y")}, {wrap("z")}, m*px.w*py.w*pz.w AS m FROM {o}ez) GROUP BY ix, iy, iz)"""
 
 
 def _assign(scheme):
@@ -449,6 +457,13 @@ def accepted_with_displacement(spark, sf_dir):
     return overlap.accept_with_displacement(v, v.limit(0), "depth", BOX, 1.0).select("void_id", "r")
 
 
+sql("accepted_with_displacement", f"""WITH RECURSIVE {VO}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY (void_id*7919) % 101, void_id) AS k FROM vo), s AS MATERIALIZED (SELECT list(r ORDER BY k) AS rs FROM o),
+e AS MATERIALIZED (SELECT a.k, any_value(a.r) AS r, list(b.k) AS near FROM o a JOIN o b ON b.k < a.k AND {_HIT('1.0e0')} GROUP BY a.k),
+w(k, live) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN len(hits) = 0 OR list_max(list_transform(hits, lambda j: rs[j])) < r THEN list_append(list_filter(live, lambda j: NOT list_contains(hits, j)), k + 1) ELSE live END
+  FROM (SELECT w.k, w.live, e.r, s.rs, list_intersect(w.live, coalesce(e.near, [])) AS hits FROM w LEFT JOIN e ON e.k = w.k + 1, s WHERE w.k < (SELECT count(*) FROM o)))
+SELECT void_id, r FROM o WHERE k IN (SELECT unnest(live) FROM w WHERE k = (SELECT count(*) FROM o))""")
+
+
 # --- size functions and distributions --------------------------------------------------------------------------
 
 
@@ -699,11 +714,11 @@ d AS (SELECT idx, ra, dec, {_DIST} AS d FROM (SELECT *, greatest(1, ceil(z/0.05e
 
 @query
 def sky_round_trip(spark, sf_dir):
-    there = theory.sky_to_cartesian(tables.sky(spark, sf_dir).where("idx <= 400"))
+    there = theory.sky_to_cartesian(tables.sky(spark, sf_dir))
     return _rounded(theory.cartesian_to_sky(there).select("idx", "dec", "redshift"), 4)
 
 
-sql("sky_round_trip", "SELECT c_custkey AS idx, round((c_custkey*71 % 120)::DOUBLE - 60, 4) + 0.0e0 AS dec, round(0.05e0 + (c_custkey % 50)::DOUBLE/100.0e0, 4) + 0.0e0 AS redshift FROM customer WHERE c_custkey <= 400")
+sql("sky_round_trip", "SELECT c_custkey AS idx, round((c_custkey*71 % 120)::DOUBLE - 60, 4) + 0.0e0 AS dec, round(0.05e0 + (c_custkey % 50)::DOUBLE/100.0e0, 4) + 0.0e0 AS redshift FROM customer")
 
 # --- surveys ---------------------------------------------------------------------------------------------------
 
@@ -759,42 +774,99 @@ def _with_idx(df):
     return materialise(df.withColumn("idx", F.monotonically_increasing_id()))
 
 
+_N = _SPEC.n
+#: The carved tracers' contrast and its modes.
+_MODES = [TR, _CARVED.replace("ca AS (", "ca AS MATERIALIZED ("), _deposit_sql("cic", _N, "ca", "1.0e0"), *grid_sql.dense_contrast("g", "dc", _N), *grid_sql.forward("dc", "mo", _N)]
+
+
+def _with(parts: list[str], select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts) + "\n" + select
+
+
 @query
 def smoothed_grid(spark, sf_dir):
-    return smoothing.smooth(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0], scheme="cic")
+    return _rounded(smoothing.smooth(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0], scheme="cic"))
+
+
+_SMOOTHED = [*_MODES, *grid_sql.smoothed("mo", "sm", _N, BOX, [8.0, 12.0], 2)]
+sql("smoothed_grid", _with(_SMOOTHED, "SELECT radius, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(value, 6) + 0.0e0 AS value FROM sm"))
 
 
 @query
 def interlaced_grid(spark, sf_dir):
     tr = materialise(tables.carved(spark, sf_dir))
-    return smoothing.interlace(assignment.deposit(tr, _SPEC, "tsc"), assignment.deposit(tr, _SPEC, "tsc", shift=0.5), _SPEC)
+    return _rounded(smoothing.interlace(assignment.deposit(tr, _SPEC, "tsc"), assignment.deposit(tr, _SPEC, "tsc", shift=0.5), _SPEC))
+
+
+_FULL = f"SELECT i AS ix, j AS iy, k AS iz FROM range({_N}) a(i), range({_N}) b(j), range({_N}) c(k)"
+_TURN = f"({-math.pi!r}*({grid_sql.signed('kx', _N)} + {grid_sql.signed('ky', _N)} + kz)/{_N})"
+sql("interlaced_grid", _with([
+    TR, _CARVED.replace("ca AS (", "ca AS MATERIALIZED ("), _deposit_sql("tsc", _N, "ca", "1.0e0"), _deposit_sql("tsc", _N, "ca", "1.0e0", "hg", 0.5),
+    *[f"{o} AS MATERIALIZED (SELECT f.ix, f.iy, f.iz, coalesce({t}.value, 0) AS value FROM ({_FULL}) f LEFT JOIN {t} USING (ix, iy, iz))" for o, t in (("d0", "g"), ("d1", "hg"))],
+    *grid_sql.forward("d0", "m0", _N), *grid_sql.forward("d1", "m1", _N),
+    f"mi AS MATERIALIZED (SELECT kx, ky, kz, 0.5e0*(a.re + b.re*cos({_TURN}) - b.im*sin({_TURN})) AS re, 0.5e0*(a.im + b.im*cos({_TURN}) + b.re*sin({_TURN})) AS im FROM m0 a JOIN m1 b USING (kx, ky, kz))",
+    *grid_sql.backward("mi", "il", _N),
+], "SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(value, 6) + 0.0e0 AS value FROM il"))
 
 
 @query
 def smoothed_distribution(spark, sf_dir):
     smoothed = smoothing.smooth(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0], scheme="cic")
-    return measure.distribution(smoothed, "value", -1.0, 1.0, 40, ["radius"])
+    return _rounded(measure.distribution(smoothed, "value", -1.0, 1.0, 40, ["radius"]), 9)
+
+
+sql("smoothed_distribution", _with([*_SMOOTHED, "h AS (SELECT radius AS r, least(floor((value + 1)*20.0e0), 39)::INT AS bin, count(*) AS n FROM sm WHERE value BETWEEN -1 AND 1 GROUP BY 1, 2)", "b AS (SELECT radius, i::INT AS i FROM (SELECT DISTINCT radius FROM sm), range(40) t(i))"],
+    f"SELECT radius, i AS bin, round(-1.0e0 + i*0.05e0, 9) + 0.0e0 AS lo, round(-1.0e0 + (i + 1)*0.05e0, 9) + 0.0e0 AS hi, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0)/({_N**3}*0.05e0), 9) + 0.0e0 AS pdf FROM b LEFT JOIN h ON h.bin = i AND h.r = radius"))
 
 
 @query
 def grid_moments(spark, sf_dir):
-    return smoothing.grid_moments(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0, 16.0], scheme="cic")
+    return _rounded(smoothing.grid_moments(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0, 16.0], scheme="cic"))
+
+
+_GRID_MOMENTS = _with(_MODES, f"""SELECT radius, "order", round(sqrt(t), 6) + 0.0e0 AS sigma, round(h/t, 6) + 0.0e0 AS high_k_fraction FROM ({grid_sql.moments("mo", _N, BOX, [8.0, 12.0, 16.0], 2)})""")
+sql("grid_moments", _GRID_MOMENTS)
 
 
 @query
 def surrogate_moments(spark, sf_dir):
-    return smoothing.grid_moments(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0, 16.0], scheme="cic", surrogate="phases", seed=3)
+    return _rounded(smoothing.grid_moments(_carved_grid(spark, sf_dir), _SPEC, [8.0, 12.0, 16.0], scheme="cic", surrogate="phases", seed=3))
+
+
+sql("surrogate_moments", _GRID_MOMENTS)  # random phases keep each mode's power
+
+_LADDER = [12.0, 9.0, 7.0]
 
 
 @query
 def spherical_voids(spark, sf_dir):
-    return finders.spherical_finder(_carved_grid(spark, sf_dir), _SPEC, [12.0, 9.0, 7.0], -0.7)
+    return _rounded(finders.spherical_finder(_carved_grid(spark, sf_dir), _SPEC, _LADDER, -0.7))
+
+
+def _finder_sql(sized: bool, scale: float = 1.0) -> str:
+    """A finder with cells as seeds: candidates of each rung, without those that collide, resized, and accepted in order."""
+    parts, found = [*_MODES, *grid_sql.smoothed("mo", "sm", _N, BOX, _LADDER, 2)], None
+    for i, r in enumerate(_LADDER):
+        parts += grid_sql.nodes("sm", f"n{i}", _N, BOX, r, -0.7)
+        parts.append(f"s{i} AS (SELECT *, {r}::DOUBLE AS r FROM n{i})")
+        parts += grid_sql.free_of(f"s{i}", found, f"c{i}", BOX, 0.0, scale)
+        last = f"c{i}"
+        if sized:
+            reach = finders.reach_of(_LADDER, i, _SPEC.cell, 2.0)
+            parts += [*grid_sql.resized(f"c{i}", "ca", f"z{i}", BOX, r, reach, -0.7), *grid_sql.free_of(f"z{i}", found, f"y{i}", BOX, 0.0, scale)]
+            last = f"y{i}"
+        parts += grid_sql.accepted(last, found, f"f{i}", BOX, 0.0, scale)
+        found = f"f{i}"
+    return _with(parts, f"SELECT void_id::BIGINT AS void_id, {', '.join(f'round({c}, 6) + 0.0e0 AS {c}' for c in ('cx', 'cy', 'cz', 'r', 'depth'))} FROM {found}", recursive=True)
+
+
+sql("spherical_voids", _finder_sql(False))
 
 
 def _finder(name, settings):
     def run(spark, sf_dir):
         tr = _with_idx(tables.carved(spark, sf_dir))
-        return finders.tracer_finder(_carved_grid(spark, sf_dir), tr, _SPEC, [12.0, 9.0, 7.0], -0.7, settings)
+        return _rounded(finders.tracer_finder(_carved_grid(spark, sf_dir), tr, _SPEC, _LADDER, -0.7, settings))
 
     run.__name__ = name
     return query(run)
@@ -804,6 +876,8 @@ _finder("excursion_set_voids", "excursion-set")
 _finder("excursion_peak_voids", "excursion-peak")
 _finder("lagrangian_overlap_voids", "lagrangian-overlap")
 _finder("hill_voids", finders.Settings(refine="hill"))
+sql("excursion_set_voids", _finder_sql(True))
+sql("lagrangian_overlap_voids", _finder_sql(True, 0.3 ** (1 / 3)))
 
 
 @query
