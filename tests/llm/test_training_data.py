@@ -392,3 +392,77 @@ def test_empty_tables(spark):
     runs.append(warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")))
     for df in runs:
         assert df.count() == 0
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """Where 2000 of 6000 rows are equal, each shard gets about its share of them, and few lie side by side."""
+    rows = [(i if i >= 2000 else 7, "same" if i < 2000 else f"row {i}") for i in range(6000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 12).toPandas()
+    assert Counter(zip(got.doc_id, got["size"], got.text_crc32)) == Counter((i, len(t) + 8, zlib.crc32(t.encode())) for i, t in rows)
+    equal = got[got.doc_id == 7]
+    shares = equal.groupby("shard").size()
+    assert len(shares) == 12 and ((shares - 2000 / 12) ** 2 / (2000 / 12)).sum() < 33
+    places = set(zip(equal.shard, equal.slot))
+    assert 0.25 < sum((s, k + 1) in places for s, k in places) / len(places) < 0.42
+
+
+def test_large_hypergeometric_draws():
+    from lacuna.llm.draws import hypergeometric
+
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((3 * 10**11, 10**12, 5 * 10**10), (10**9, 40, 5 * 10**8), (2 * 10**9, 10**9, 3 * 10**9 - 1000)):
+        x = np.array([hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+        total = good + bad
+        mean, spread = n * good / total, (n * good / total * bad / total * (total - n) / (total - 1)) ** 0.5
+        assert abs(x.mean() - mean) < 5 * spread / 3000**0.5 and abs(x.std() / spread - 1) < 0.1
+
+
+def test_sample_of_labels_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    rows, good = quality.sample(docs, labels, 1)
+    assert len(rows) <= 2 and sorted(good) in ([0, 1], [1])
+
+
+def test_least_id_and_null_stay_apart(spark):
+    least = -(2**63)
+    text = "six words are enough for this"
+    docs = spark.createDataFrame([(least, text), (least + 1, text), (5, text), (9, "nothing like it at all here")], "doc_id long, text string")
+    assert {tuple(r)[::2] for r in jaccard.join(docs).collect()} == {(least, least), (least + 1, least), (5, least), (9, 9)}
+    more = docs.unionByName(spark.createDataFrame([(None, text)], "doc_id long, text string"))
+    assert {tuple(r)[::2] for r in jaccard.join(more).collect()} == {(None, None), (least, None), (least + 1, None), (5, None), (9, 9)}
+
+
+def test_long_texts_and_shared_ids_in_suffixes(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    old, suffix_dedup.STEP = suffix_dedup.STEP, 500
+    try:
+        p = word(150)
+        rows = [(1, p), (2, p + word(30)), (2, word(20) + p + word(40)), (3, word(3000) + p + word(2500)), (None, word(200)), (None, word(210) + p)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        keys = suffix_dedup.Ids(df, "doc_id")
+        found = list(suffix_dedup._pieces([df.select(keys.key.alias("key"), F.xxhash64("text").alias("t"), "text").toArrow().combine_chunks().to_batches()[0]]))
+        assert any(o[0] > 0 for _, _, o, _ in found) and sum(max(0, len(x) - 99) for *_, xs in found for x in xs) == sum(max(0, len(t) - 99) for _, t in rows)
+        assert sorted(map(tuple, suffix_dedup.deduplicate(df).collect()), key=str) == brute_suffixes(rows)
+    finally:
+        suffix_dedup.STEP = old
+
+
+def test_bucket_pointers_by_brute_force():
+    rng = random.Random(6)
+    raw = bytes(rng.choices(b"ab", k=400)) * 3 + bytes(rng.choices(b"abc", k=300))
+    got = suffix_dedup.bucket_pointers(raw)
+    first = {}
+    want = [first.setdefault(raw[i : i + 100], i) for i in range(len(raw) - 99)]
+    assert len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_memos_are_bounded():
+    from lacuna.llm.common import Memo
+
+    memo = Memo(lambda k: k[::-1], 100_000)
+    for i in range(5000):
+        k = b"%d" % (i * 7919 % 4001)
+        assert memo.all([k, b"x"]) == [k[::-1], b"x"]
+    assert len(memo.young) + len(memo.old) < 1200
