@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, lean, text_steps
+from .common import Memo, bound_batches, kept, lean, text_steps
 
 SPACES = b"\t\n\x0b\x0c\r "
 #: White space outside ASCII, in UTF-8.
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
     path: a byte-level BPE file of the tokenizers library; by default the public one with 50k tokens, whose
     fragments are encoded with the equal ranks of tiktoken. Ids outside the vocabulary don't occur.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def run(batches):

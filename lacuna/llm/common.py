@@ -78,24 +78,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which ends its lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with arrow_bytes(spark):
-        df.write.parquet(path)
+    bound_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def arrow_bytes(spark: SparkSession, most: int = ARROW_BYTES):
-    """While this lasts, rows go to Python workers in batches of at most so many bytes, if the session allows more."""
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of at most ARROW_BYTES, or fewer if the session says so.
+
+    It stays set, as results that are read later need it, too.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    if before is not None and before.isdigit() and 0 < int(before) <= most:
-        yield
-        return
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:

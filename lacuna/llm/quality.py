@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, kept, lean, text_steps
+from .common import bound_batches, give_back, kept, lean, text_steps
 from .words import WordTable, split_step, window_hashes, word_hashes
 
 #: Labelled rows of each class that training sees at most; the one bound on what it reads.
@@ -136,6 +136,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Features and labels of at most most rows of each class, the same ones on every run."""
+    bound_batches(docs.sparkSession)
     good = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("good"))
     # A document labelled both ways has no label.
     good = good.groupBy("id").agg(F.min("good").alias("good"), F.max("good").alias("top")).where("good = top").select("id", "good", F.xxhash64("id").alias("at"))
@@ -215,6 +216,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability of every document."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # BUCKETS numbers
 
     def run(batches):
@@ -231,6 +233,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns as they are, whose text is kept."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     @F.arrow_udf("boolean")

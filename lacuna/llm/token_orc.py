@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import MEMO_BYTES, Memo, kept, lean, parts_for, scratch, text_steps
+from .common import MEMO_BYTES, Memo, bound_batches, kept, lean, parts_for, scratch, text_steps
 
 END_ID = 2
 #: Text bytes of a block, about.
@@ -113,6 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             arrays = [part.column("doc_id"), pa.array(np.full(len(sizes), block, np.int32)), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4"))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "block", "block_start", "n_tokens", "ids"])
 
+    bound_batches(docs.sparkSession)
     ordered.mapInArrow(lean(run, keeps=True), "doc_id long, block int, block_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
 
