@@ -205,6 +205,11 @@ def kept(name: str, make: Callable[[], object]):
     return _kept[name]
 
 
+def forget() -> None:
+    """Drops what kept() holds. A function of its own, as workers get this module's functions by name but copies of its variables."""
+    _kept.clear()
+
+
 def give_back() -> None:
     """Returns freed memory to the system; else a worker goes on holding the most that any of its tasks needed."""
     pa.default_memory_pool().release_unused()
@@ -217,8 +222,8 @@ def lean(run, keeps: bool = False):
 
     @functools.wraps(run)
     def wrapped(batches):
-        if not keeps and _kept:
-            _kept.clear()
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:
