@@ -134,6 +134,26 @@ def test_token_files(spark, corpus):
     assert known == sorted(known)
 
 
+def test_plain_texts_together_equal_the_library():
+    import public_tokenizers as vocabularies
+    from tokenizers import Tokenizer
+
+    coder, library = token_orc.word_coder(None), Tokenizer.from_file(vocabularies.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    ids = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = np.random.default_rng(3)
+    plain = ["'", "s", "t", "re", "ve", "ll", "d", "m", "'s", "'re", " ", "\n", "\t", "\x0b", "\r", "A", "É", "ß", "ÿ", "1", "23", "!", '"', "''", "<", "word", "The", "..", "_", "The's", "'LL"]
+    other = ["\x01", "\x02", "\x7f", "\x1c", "×", "²", "µ", "\xa0", "日本", "<|endoftext|>", "e\u0301"]
+    for i in range(150):
+        some = plain + other * (i % 3 == 0)
+        texts = ["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(20)]
+        assert coder.encode_all([t.encode() for t in texts]) == [ids(t) for t in texts]
+    long = " ".join(f"{w}'s" for w in rng.choice(plain, 600_000))
+    assert len(long) > 2 << 20 and coder.encode_all([long.encode()]) == [ids(long)]
+    assert coder.encode_all([]) == [] and coder.encode_all([b"", b" "]) == [b"", b""]
+
+
 def test_token_files_are_pruned_by_id(spark, corpus):
     path = token_orc.scratch(spark, "t")
     token_orc.write(documents(spark, corpus), path)
