@@ -403,15 +403,15 @@ def join(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     step = F.floor(F.log("n") / F.lit(float(np.log(1.01 * 100 / LEAST)))).cast("int")
     tied = prefixes.select("h", "sid", F.explode(F.array(step, step + 1)).alias("q"))
     leads = tied.groupBy(F.col("h").alias("k_h"), F.col("q").alias("k_q")).agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("k_h", "k_q", "lead")
-    tied = tied.join(leads, (F.col("h") == F.col("k_h")) & (F.col("q") == F.col("k_q"))).where("sid <> lead").select("sid", "lead").distinct()
+    tied = tied.join(leads, (F.col("h") == F.col("k_h")) & (F.col("q") == F.col("k_q"))).where("sid <> lead").select("sid", "lead")
     blocks = stage(components(tied, "sid", "lead"), "jaccard_blocks").select(F.col("node").alias("sid"), F.col("component").alias("block"))
     # 3. The search in each block.
     bins = max(1, -(-total // BIN_SHINGLES), min(partitions(spark), total // 20_000))
     links = _links(blocks, found, chunk, bins)
     # Components of sets, named by their smallest document.
     classes = stage(components(links, "a", "b"), "jaccard_classes")
-    firsts = stage(rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first"), F.count("*").alias("copies")), "jaccard_firsts")
-    joined = firsts.join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    firsts = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
+    joined = firsts.join(maybe_broadcast(classes.select(F.col("node").alias("sid"), "component")), "sid", "left")
     named = stage(joined.withColumn("component", F.coalesce("component", "sid")), "jaccard_named")
     least = named.groupBy("component").agg(F.min("first").alias("least"), F.sum("copies").alias("all")).where(F.col("all") > 1)
     members = stage(named.join(least, "component").select(F.col("sid").alias("s"), "least"), "jaccard_least")

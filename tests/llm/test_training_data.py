@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,10 +390,32 @@ def test_forced_pairs():
     assert not f[97, 98] and not f[98, 99] and f[97, 99] and f[120, 97]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one", [1000, 0])
+def test_components(spark, in_one):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, k) for k in range(101, 160)] + [(5, 5), (None, 3)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "b", "a").collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "b", "a", in_one=in_one).collect()}
     assert got == {i: i // 10 * 10 for i in range(40)} | {k: 100 for k in range(100, 160)}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b", in_one=in_one).collect() == []
+
+
+def test_least_reachable_and_forests(monkeypatch):
+    from lacuna.llm import components as c
+
+    rng = np.random.default_rng(3)
+    for n, many in ((30, 20), (300, 290), (300, 900)):
+        a, b = rng.integers(-n, n, (2, many))
+        want = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in want:
+            for x, y in zip(a.tolist(), b.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        nodes, least = c.least_reachable(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist())) == want
+        # Folded in small steps, the links left connect the same nodes.
+        monkeypatch.setattr(c, "FOREST_LINKS", 25)
+        batches = [pa.record_batch([pa.array(a[i : i + 10]), pa.array(b[i : i + 10])], ["u", "v"]) for i in range(0, many, 10)]
+        left = list(c._forest(batches))
+        nodes, least = c.least_reachable(*(np.concatenate([x.column(k).to_numpy() for x in left]) for k in "uv"))
+        assert {k: v for k, v in want.items() if list(want.values()).count(v) > 1} == dict(zip(nodes.tolist(), least.tolist()))
 
 
 def test_release_deletes_scratch(spark):
