@@ -1,12 +1,15 @@
 """Licence scan by a positional index of rare words (operator 1); DataFrame functions only.
 
-Every template is a passage of a licence with a mandatory key phrase in it. A document's word array is its
-positional index. The licence words' inverse document frequencies over all documents choose each template's
-rarest key word; its places in a document propose where the passage would start, the places of the other
-words relative to that start must agree for the whole key phrase, and the rest of the passage is scored.
+Every template is a passage of a licence with a mandatory key phrase in it. The inverse document frequencies of the
+key words over all documents give each template's rarest one, under which the index holds the template and the word's
+offset in it. The highest-IDF words of a file are looked up there: each of their places, less the offset in the posting,
+proposes a start of the passage; the words at the same relative positions must agree with the whole key phrase, and the
+rest of the passage is scored. A file that holds a key phrase holds its rarest word, so none is missed. Index and
+templates are two constants, so the plan doesn't grow with the number of templates.
 
 Null and empty texts have no words and score 0. Ties in frequency go to the word that sorts first; the choice
-of word changes the cost only. Other columns, whatever their names, are not read.
+of word changes the cost only. Rows are judged one by one: repeated rows give equal rows, an empty table an empty one,
+and a very long text is one row, read whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -66,58 +69,43 @@ def scan(docs: DataFrame, templates=TEMPLATES, n_base: int = N_BASE) -> DataFram
     score: the largest share of a verified template's passage that stands in place; 0 without any.
     """
     parsed = [_parts(t) for t in templates]
-    frequency = document_frequencies(docs, sorted({w for _, p, k, _ in parsed for w in k}))
-    anchors = [min(range(len(k)), key=lambda i: (frequency.get(k[i], 0), k[i])) for _, _, k, _ in parsed]
-    lookup = sorted({k[a] for (_, _, k, _), a in zip(parsed, anchors)})
+    frequency = document_frequencies(docs, sorted({w for _, _, k, _ in parsed for w in k}))
+    index: dict[str, list[Column]] = {}
+    for t, (_, _, key, at) in enumerate(parsed):
+        rarest = min(range(len(key)), key=lambda k: (frequency.get(key[k], 0), key[k]))
+        index.setdefault(key[rarest], []).append(F.struct(F.lit(t).alias("t"), F.lit(at + rarest).alias("offset")))
+    postings = F.create_map(*[c for word, found in index.items() for c in (F.lit(word), F.array(*found))])
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, p)).alias("passage"), F.lit(at).alias("at"), F.lit(at + len(k) - 1).alias("to")) for label, p, k, at in parsed])
+    template = lambda h, field: F.get(table, h["t"])[field]
+    agrees = lambda h, k: F.get("w", h["start"] + k).eqNullSafe(F.get(template(h, "passage"), k))
+
     rows = docs.select("doc_id", words_of(text_of()).alias("w"))
-    # The postings of the looked-up words in the document, positions from 0.
     n = F.size("w")
-    postings = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("w"), i).isin(lookup))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", "w", postings.alias("p"))
-
-    def starts(parts, anchor) -> Column:
-        """Where the key phrase starts: places of its rarest word moved to its start, if all its words agree."""
-        _, _, key, _ = parts
-        at = F.transform(F.filter("p", lambda i: F.get(F.col("w"), i) == key[anchor]), lambda i: i - anchor)
-
-        def whole(i):
-            ok = i >= 0
-            for k, word in enumerate(key):
-                if k != anchor:
-                    ok = ok & F.coalesce(F.get(F.col("w"), F.greatest(i + k, F.lit(0))) == word, F.lit(False))
-            return ok
-
-        return F.filter(at, whole)
-
-    found = rows.select("doc_id", "w", *[starts(x, a).alias(f"s{t}") for t, (x, a) in enumerate(zip(parsed, anchors))])
-
-    def share(t, parts) -> Column:
-        _, passage, key, at = parts
-        places = F.col(f"s{t}")
-
-        def in_place(i):
-            total = F.lit(0)
-            for k, word in enumerate(passage):
-                j = i + (k - at)
-                total = total + F.when((j >= 0) & (F.get(F.col("w"), F.greatest(j, F.lit(0))) == word), 1).otherwise(0)
-            return total / F.lit(float(len(passage)))
-
-        return F.coalesce(F.array_max(F.transform(places, in_place)), F.lit(0.0))
-
-    def labels(n_templates) -> Column:
-        each = [F.when(F.size(f"s{t}") > 0, F.lit(x[0])) for t, x in enumerate(parsed[:n_templates])]
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*each)))), ",")
-
-    base = F.array_sort(F.concat(*[F.col(f"s{t}") for t in range(n_base)]))
+    # Places of the looked-up words, from 0, and the starts of passages that they propose.
+    places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("w"), i).isin(sorted(index)))).otherwise(F.array().cast("array<int>"))
+    proposed = F.flatten(F.transform(places, lambda i: F.transform(postings[F.get(F.col("w"), i)], lambda x: F.struct(x["t"].alias("t"), (i - x["offset"]).alias("start")))))
+    rows = rows.select("doc_id", "w", proposed.alias("h"))
+    whole = F.filter("h", lambda h: F.forall(F.sequence(template(h, "at"), template(h, "to")), lambda k: agrees(h, k)))
+    found = rows.select("doc_id", "w", whole.alias("h"))
+
+    def share(h) -> Column:
+        length = F.size(template(h, "passage"))
+        return F.size(F.filter(F.sequence(F.lit(0), length - 1), lambda k: agrees(h, k))) / length
+
+    def labels(hits) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: template(h, "label")))), ",")
+
+    base_hits = F.filter("h", lambda h: h["t"] < n_base)
+    base = F.array_sort(F.transform(base_hits, lambda h: h["start"] + template(h, "at")))
     return found.select(
         F.col("doc_id"),
         F.size("w").cast("long").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.get(base, F.lit(0)).cast("long").alias("first_word"),
         F.array_max(base).cast("long").alias("last_word"),
-        labels(n_base).alias("base_labels"),
-        labels(len(parsed)).alias("labels"),
-        F.greatest(*[share(t, x) for t, x in enumerate(parsed)]).alias("score"),
+        labels(base_hits).alias("base_labels"),
+        labels(F.col("h")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("h", share)), F.lit(0.0)).alias("score"),
     )
 
 
