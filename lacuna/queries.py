@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import grid_sql
 from .core import GridSpec, materialise
 from .functions import numeric, theory
-from .operators import assignment, crossing, measure, overlap, rows, smoothing, spatial, survey, tessellation
+from .operators import assignment, crossing, measure, overlap, rows, shells, smoothing, spatial, survey, tessellation
 from .plans import finders
 from .sources import tables
 
@@ -275,8 +275,8 @@ SELECT void_id, round(sum(w*coalesce(value, 0)), 6) + 0.0e0 AS value FROM q LEFT
 
 @query
 def sphere_counts(spark, sf_dir):
-    near = spatial.within(tables.voids(spark, sf_dir), _points(spark, sf_dir), F.col("r"), BOX, 14.0)
-    return near.groupBy("void_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    sums = shells.sums_within(tables.voids(spark, sf_dir), _points(spark, sf_dir), F.array(F.col("r") * F.col("r")), 1, BOX, 14.0, ("w",))
+    return sums.select("void_id", F.col("n_0").alias("n"), F.col("w_0").alias("w"))
 
 
 _D2 = f"pow({_image('x - cx')}, 2) + pow({_image('y - cy')}, 2) + pow({_image('z - cz')}, 2)"
