@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import require
+from .shells import sums_within
 from .spatial import within
 
 
@@ -73,13 +76,8 @@ def combine_size_functions(parts: DataFrame, targets: DataFrame, how: str = "mea
     return targets.select("bin", "r_centre").join(out, ["bin", "r_centre"], "left").select("bin", "r_centre", F.coalesce("vsf", F.lit(0.0)).alias("vsf"), F.coalesce("err", F.lit(0.0)).alias("err"))
 
 
-def profiles(voids: DataFrame, tracers: DataFrame, box: float, n_bins: int, extent: float, mean_density: float, most_radius: float, cumulative: bool = True, weight: str | None = None, velocity: bool = False, weighted_velocity: bool = False, periodic: bool = True) -> DataFrame:
-    """void_id, bin, n, density and, on demand, v_rad: density contrasts around each void, in bins of r / (extent * void radius).
-
-    cumulative: within the bin's outer edge; else in the shell. v_rad is always the shell's mean. A tracer at distance
-    extent * r or more is in no bin. Empty bins give density -1 in shells and v_rad 0.
-    """
-    require(n_bins > 0 and extent > 0, "bins and extent must be positive")
+def _binned_pairs(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic):
+    """void_id, r, bin, n, mass and flow from a row for each pair of a void and a tracer."""
     near = within(voids, tracers, F.col("r") * F.lit(extent), box, most_radius * extent, periodic)
     d = F.sqrt("d2")
     at = F.floor(d * (F.lit(float(n_bins)) / (F.lit(extent) * F.col("r")))).cast("int")
@@ -91,7 +89,52 @@ def profiles(voids: DataFrame, tracers: DataFrame, box: float, n_bins: int, exte
         sums += [F.sum(v * F.col("m") if weighted_velocity else v).alias("flow")]
     binned = near.groupBy("void_id", "bin").agg(*sums)
     all_bins = voids.select("void_id", "r").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    rows = all_bins.join(binned, ["void_id", "bin"], "left")
+    return all_bins.join(binned, ["void_id", "bin"], "left")
+
+
+def _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, periodic):
+    """void_id, r, bin, n, mass from sums within each bin's outer edge."""
+
+    @F.pandas_udf("array<double>")
+    def limits(r: pd.Series) -> pd.Series:
+        return pd.Series(list(bin_limits(r.to_numpy(float), n_bins, extent)))
+
+    weights = (weight,) if weight else ()
+    sums = sums_within(voids, tracers, limits("r"), n_bins, box, most_radius * extent, weights, periodic=periodic)
+    named = {"n": "n", "mass": weight or "n"}
+    both = voids.select("void_id", "r").join(sums, "void_id", "left")
+    step = [F.struct(F.lit(k).alias("bin"), *[(F.col(f"{c}_{k}") - F.col(f"{c}_{k - 1}") if k else F.col(f"{c}_0")).alias(out) for out, c in named.items()]) for k in range(n_bins)]
+    return both.select("void_id", "r", F.explode(F.array(*step)).alias("b")).select("void_id", "r", "b.*").withColumn("mass", F.col("mass").cast("double"))
+
+
+def bin_limits(r: np.ndarray, n_bins: int, extent: float) -> np.ndarray:
+    """For each radius the largest squared distances that the bins' expression puts into bin 0, into 0 or 1, and so on."""
+    scale = (float(n_bins) / (extent * r))[:, None]
+    edge = np.arange(1, n_bins + 1)[None, :]
+    limit = (edge / scale) ** 2
+
+    def within_edge(d2):
+        return np.floor(np.sqrt(d2) * scale) < edge
+
+    while (over := ~within_edge(limit)).any():
+        limit = np.where(over, np.nextafter(limit, 0.0), limit)
+    while (under := within_edge(np.nextafter(limit, np.inf))).any():
+        limit = np.where(under, np.nextafter(limit, np.inf), limit)
+    reach = r * extent
+    return np.minimum(limit, (reach * reach)[:, None])
+
+
+def profiles(voids: DataFrame, tracers: DataFrame, box: float, n_bins: int, extent: float, mean_density: float, most_radius: float, cumulative: bool = True, weight: str | None = None, velocity: bool = False, weighted_velocity: bool = False, periodic: bool = True) -> DataFrame:
+    """void_id, bin, n, density and, on demand, v_rad: density contrasts around each void, in bins of r / (extent * void radius).
+
+    cumulative: within the bin's outer edge; else in the shell. v_rad is always the shell's mean. A tracer at distance
+    extent * r or more is in no bin. Empty bins give density -1 in shells and v_rad 0.
+    """
+    require(n_bins > 0 and extent > 0, "bins and extent must be positive")
+    if velocity or weighted_velocity or periodic and 2 * most_radius * extent >= box:
+        rows = _binned_pairs(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic)
+    else:
+        rows = _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, periodic)
     mass, n = F.coalesce("mass", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("long")
     step = F.lit(extent / n_bins) * F.col("r")
     outer, inner = (F.col("bin") + 1) * step, F.col("bin") * step

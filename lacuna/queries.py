@@ -321,7 +321,7 @@ SELECT void_id, bin, coalesce(n, 0)::BIGINT AS n, round({density}, 6) + 0.0e0 AS
 
 def _profiles(name, **kw):
     def run(spark, sf_dir):
-        tr = materialise(tables.tracers(spark, sf_dir, velocities=True))
+        tr = tables.tracers(spark, sf_dir, velocities=True)
         mean = tr.agg(F.sum("w") if kw.get("weight") else F.count("*").cast("double")).first()[0] / BOX**3
         return _rounded(measure.profiles(tables.voids(spark, sf_dir), tr, BOX, 10, 3.0, mean, 14.0, **kw))
 

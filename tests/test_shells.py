@@ -1,5 +1,7 @@
 """Sums within distances, against brute force and without a row for each pair."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,29 @@ def test_spheres_that_reach_around_are_refused(spark):
 
 def test_sphere_counts_make_no_pairs(spark):
     assert "Join" not in plan(named.queries()["sphere_counts"](spark, DATA))
+
+
+def test_bin_limits_follow_the_bins_expression():
+    """Exactly at and next to each limit the bin is the one that the expression gives."""
+    r = 5.0 + np.arange(10)
+    limit = measure.bin_limits(r, 10, 3.0)
+    scale = (10.0 / (3.0 * r))[:, None]
+    for d2, inside in ((limit, True), (np.nextafter(limit, np.inf), False)):
+        k = np.floor(np.sqrt(d2) * scale) < np.arange(1, 11)
+        k[:, -1] &= d2[:, -1] <= (r * 3.0) ** 2
+        assert (k == inside).all()
+
+
+def test_profiles_cumulative_make_no_pairs(spark):
+    """The only joins are by void, none by cell."""
+    assert "__cell = __cell" not in re.sub(r"#\d+L?", "", plan(named.queries()["profiles_cumulative"](spark, DATA))) and "FlatMapCoGroupsInArrow" in plan(named.queries()["profiles_cumulative"](spark, DATA))
+
+
+def test_profiles_that_reach_around_the_box(spark):
+    """A sphere beyond half the box counts each tracer once, by its nearest image."""
+    p = np.random.default_rng(8).uniform(0, 20, (300, 3))
+    tracers = spark.createDataFrame([tuple(map(float, q)) for q in p], "x double, y double, z double")
+    void = spark.createDataFrame([(0, 3.0, 4.0, 5.0, 6.0)], "void_id long, cx double, cy double, cz double, r double")
+    got = {r["bin"]: r["n"] for r in measure.profiles(void, tracers, 20.0, 4, 2.0, 300 / 8000, 6.0).collect()}
+    bins = np.floor(np.sqrt(squared(p, [[3.0, 4.0, 5.0]], 20.0)[0]) * (4 / 12.0))
+    assert [got[b] for b in range(4)] == [int((bins == b).sum()) for b in range(4)]
