@@ -337,7 +337,7 @@ _profiles("profiles_velocity", velocity=True)
 
 @query
 def profiles_stacked(spark, sf_dir):
-    return _rounded(measure.stack(_Q["profiles_cumulative"](spark, sf_dir), ["density"]))
+    return _rounded(measure.stack(_Q["profiles_cumulative"](spark, sf_dir), ["density"], places=6))
 
 
 sql("profiles_stacked", f"SELECT bin, count(*) AS n_voids, round(avg(density), 6) + 0.0e0 AS density, round(stddev_samp(density)/sqrt(count(density)), 6) + 0.0e0 AS density_err FROM ({_profile_sql(True, False)}) GROUP BY bin")
@@ -389,7 +389,7 @@ _crossing("crossing_radius_weighted", "w")
 
 @query
 def refusal_reasons(spark, sf_dir):
-    tr = materialise(_points(spark, sf_dir))
+    tr = _points(spark, sf_dir)
     near = crossing.crossing_radius(tables.voids(spark, sf_dir), tr, BOX, tr.count() / BOX**3, -0.2, F.col("r"), F.col("r") * 1.5, 21.0)
     return near.groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna import queries as named
 from lacuna.core import CatalogueError
-from lacuna.operators import measure, shells
+from lacuna.operators import crossing, measure, shells
 
 DATA = "/root/testdata/sf0.001"
 
@@ -81,3 +81,35 @@ def test_profiles_that_reach_around_the_box(spark):
     got = {r["bin"]: r["n"] for r in measure.profiles(void, tracers, 20.0, 4, 2.0, 300 / 8000, 6.0).collect()}
     bins = np.floor(np.sqrt(squared(p, [[3.0, 4.0, 5.0]], 20.0)[0]) * (4 / 12.0))
     assert [got[b] for b in range(4)] == [int((bins == b).sum()) for b in range(4)]
+
+
+def test_crossings_rank_no_tracer_of_a_shell_that_cannot_cross(spark, monkeypatch):
+    """refusal_reasons' rule on even tracers: nothing is ranked, and the reasons are those of a sort."""
+    seen, real = [], crossing.within
+    monkeypatch.setattr(crossing, "within", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    p = np.random.default_rng(5).uniform(0, 40, (30000, 3))
+    tracers = spark.createDataFrame([tuple(map(float, q)) for q in p], "x double, y double, z double")
+    c = np.random.default_rng(6).uniform(0, 40, (20, 3))
+    centres = spark.createDataFrame([(i, *map(float, q), 6.0) for i, q in enumerate(c)], "void_id long, cx double, cy double, cz double, r double")
+    for threshold, ranked in ((-0.3, False), (0.1, True)):
+        seen.clear()
+        density = len(p) / 40.0**3 * (1.0 if threshold < 0 else 0.9)
+        got = {r["void_id"]: r for r in crossing.crossing_radius(centres, tracers, 40.0, density, threshold, F.col("r"), F.col("r") * 1.5, 9.0).collect()}
+        assert seen[0].isEmpty() != ranked
+        for i, d2 in enumerate(squared(p, c, 40.0)):
+            d = np.sort(np.sqrt(d2[d2 <= 81.0]))
+            level = (1 + threshold) * 4 / 3 * np.pi * density
+            ok = (d > 6) & (np.arange(len(d)) <= level * d**3)
+            reason = "beyond search" if len(d) <= level * 729 else None if ok.any() else "below rung"
+            assert got[i]["reason"] == reason and (reason or got[i]["radius"] == d[ok].max())
+
+
+def test_crossings_from_a_least_of_nothing(spark):
+    """A rung of 0, a reach below the rung, and centres far from all tracers."""
+    tracers = spark.createDataFrame([(5.0 + 0.1 * i, 5.0, 5.0) for i in range(1, 11)], "x double, y double, z double")
+    centres = spark.createDataFrame([(0, 5.0, 5.0, 5.0, 0.0, 2.0), (1, 5.0, 5.0, 5.0, 2.0, 1.5), (2, 14.0, 14.0, 14.0, 0.5, 2.0)], "void_id long, cx double, cy double, cz double, a double, b double")
+    got = {r["void_id"]: (r["radius"], r["reason"]) for r in crossing.crossing_radius(centres, tracers, 20.0, 0.25, -0.1, F.col("a"), F.col("b"), 2.0).collect()}
+    level = 0.9 * 4 / 3 * np.pi * 0.25
+    d = np.sqrt(squared(np.array([(5.0 + 0.1 * i, 5.0, 5.0) for i in range(1, 11)]), [[5.0, 5.0, 5.0]], 20.0)[0])
+    ok = np.arange(10) <= level * d**3
+    assert got == {0: (d[ok].max(), None), 1: (None, "below rung"), 2: (None, "empty")}
