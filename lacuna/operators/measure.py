@@ -155,11 +155,15 @@ def profile_radius(bin_: Column, n_bins: int, extent: float, cumulative: bool =
     return (bin_ + F.lit(1.0 if cumulative else 0.5)) * F.lit(extent / n_bins)
 
 
-def stack(profile: DataFrame, columns: list[str]) -> DataFrame:
-    """The mean profile over voids and its standard error."""
+def stack(profile: DataFrame, columns: list[str], places: int | None = None) -> DataFrame:
+    """The mean profile over voids and its standard error. places: the values have so many decimals, and means are rounded to as many.
+
+    Such means are exact up to their rounding, whatever the order of the rows; halves go away from zero.
+    """
     aggs = []
     for c in columns:
-        aggs += [F.avg(c).alias(c), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias(f"{c}_err")]
+        mean = F.avg(c) if places is None else F.round(F.sum(F.col(c).cast(f"decimal({16 + places},{places})")) / F.count(c), places).cast("double")
+        aggs += [mean.alias(c), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias(f"{c}_err")]
     return profile.groupBy("bin").agg(F.count("*").alias("n_voids"), *aggs)
 
 

@@ -113,3 +113,16 @@ def test_crossings_from_a_least_of_nothing(spark):
     d = np.sqrt(squared(np.array([(5.0 + 0.1 * i, 5.0, 5.0) for i in range(1, 11)]), [[5.0, 5.0, 5.0]], 20.0)[0])
     ok = np.arange(10) <= level * d**3
     assert got == {0: (d[ok].max(), None), 1: (None, "below rung"), 2: (None, "empty")}
+
+
+def test_stacked_means_are_exact_in_any_order(spark):
+    """Halves of the last decimal go away from zero, whatever the order of the sum."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-900000, 900000, 99)
+    v = np.append(v, 1657150 - v.sum())
+    rows = [(b, float(x) / 1e6 * (-1 if b % 2 else 1)) for b in range(24) for x in rng.permutation(v)]
+    df = spark.createDataFrame(rows, "bin int, density double")
+    got = {r["bin"]: r["density"] for r in measure.stack(df, ["density"], places=6).collect()}
+    assert got == {b: -0.016572 if b % 2 else 0.016572 for b in range(24)}
+    plain = [F.round(F.lit(float(np.cumsum([x for k, x in rows if k == b])[-1]) / 100), 6) for b in range(24)]
+    assert len({abs(x) for x in spark.range(1).select(*plain).first()}) == 2
