@@ -84,13 +84,13 @@ def within(centres: DataFrame, tracers: DataFrame, reach: Column, box: float, mo
 def nearest(centres: DataFrame, tracers: DataFrame, box: float, key: str, tracer_key: str, n: int, periodic: bool = True) -> DataFrame:
     """key, nearest tracer's tracer_key and d2 for each centre; ties go to the smallest tracer_key.
 
-    Rings of cells are searched outwards; a centre is settled once its nearest tracer is nearer than what the rings
-    leave out, so few centres go on to the next ring.
+    Spheres are searched outwards; a centre is settled once one holds a tracer, so few centres go on to the next. The
+    first sphere is a cell of n a side, or less where about 17 tracers would lie in less if they were spread evenly.
     """
     from ..core import materialise
 
-    cell, found, open_ = box / n, None, centres.select(key, "cx", "cy", "cz")
-    reach = cell
+    found, open_ = None, centres.select(key, "cx", "cy", "cz")
+    reach = min(box / n, box * (4 / max(1, tracers.count())) ** (1 / 3))
     while True:
         near = within(open_, tracers, F.lit(reach), box, reach, periodic)
         best = near.groupBy(key).agg(F.min(F.struct("d2", tracer_key)).alias("b")).select(key, f"b.{tracer_key}", "b.d2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna import queries as named
 from lacuna.core import CatalogueError
-from lacuna.operators import crossing, measure, shells
+from lacuna.operators import crossing, measure, shells, spatial
 
 DATA = "/root/testdata/sf0.001"
 
@@ -126,3 +126,17 @@ def test_stacked_means_are_exact_in_any_order(spark):
     assert got == {b: -0.016572 if b % 2 else 0.016572 for b in range(24)}
     plain = [F.round(F.lit(float(np.cumsum([x for k, x in rows if k == b])[-1]) / 100), 6) for b in range(24)]
     assert len({abs(x) for x in spark.range(1).select(*plain).first()}) == 2
+
+
+def test_nearest_meets_few_tracers(spark, monkeypatch):
+    """However many tracers there are, a centre meets some tens of them, and finds the nearest by brute force."""
+    seen, real = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    p = np.random.default_rng(9).uniform(0, 100, (20000, 3))
+    c = np.random.default_rng(10).uniform(0, 100, (50, 3))
+    tracers = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "idx long, x double, y double, z double")
+    centres = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(c)], "void_id long, cx double, cy double, cz double")
+    got = {r["void_id"]: (r["idx"], r["d2"]) for r in spatial.nearest(centres, tracers, 100.0, "void_id", "idx", 8).collect()}
+    d2 = squared(p, c, 100.0)
+    assert got == {i: (int(d2[i].argmin()), d2[i].min()) for i in range(50)}
+    assert seen[0].count() < 50 * 40
