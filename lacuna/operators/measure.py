@@ -92,18 +92,22 @@ def _binned_pairs(voids, tracers, box, n_bins, extent, most_radius, weight, velo
     return all_bins.join(binned, ["void_id", "bin"], "left")
 
 
-def _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, periodic):
-    """void_id, r, bin, n, mass from sums within each bin's outer edge."""
+def _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic):
+    """void_id, r, bin, n, mass and flow from sums within each bin's outer edge."""
 
     @F.pandas_udf("array<double>")
     def limits(r: pd.Series) -> pd.Series:
         return pd.Series(list(bin_limits(r.to_numpy(float), n_bins, extent)))
 
-    weights = (weight,) if weight else ()
-    sums = sums_within(voids, tracers, limits("r"), n_bins, box, most_radius * extent, weights, periodic=periodic)
+    weights, flow = (weight,) if weight else (), ("__vx", "__vy", "__vz") if velocity else ()
+    if velocity:
+        m = F.col(weight).cast("double") if weight and weighted_velocity else F.lit(1.0)
+        tracers = tracers.withColumns({f"__v{c}": F.col(f"v{c}") * m for c in "xyz"})
+    sums = sums_within(voids, tracers, limits("r"), n_bins, box, most_radius * extent, weights, periodic=periodic, flow=flow)
     named = {"n": "n", "mass": weight or "n"}
     both = voids.select("void_id", "r").join(sums, "void_id", "left")
-    step = [F.struct(F.lit(k).alias("bin"), *[(F.col(f"{c}_{k}") - F.col(f"{c}_{k - 1}") if k else F.col(f"{c}_0")).alias(out) for out, c in named.items()]) for k in range(n_bins)]
+    own = [[F.col(f"flow_{k}").alias("flow")] if velocity else [] for k in range(n_bins)]
+    step = [F.struct(F.lit(k).alias("bin"), *own[k], *[(F.col(f"{c}_{k}") - F.col(f"{c}_{k - 1}") if k else F.col(f"{c}_0")).alias(out) for out, c in named.items()]) for k in range(n_bins)]
     return both.select("void_id", "r", F.explode(F.array(*step)).alias("b")).select("void_id", "r", "b.*").withColumn("mass", F.col("mass").cast("double"))
 
 
@@ -131,10 +135,10 @@ def profiles(voids: DataFrame, tracers: DataFrame, box: float, n_bins: int, exte
     extent * r or more is in no bin. Empty bins give density -1 in shells and v_rad 0.
     """
     require(n_bins > 0 and extent > 0, "bins and extent must be positive")
-    if velocity or weighted_velocity or periodic and 2 * most_radius * extent >= box:
+    if periodic and 2 * most_radius * extent >= box:
         rows = _binned_pairs(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic)
     else:
-        rows = _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, periodic)
+        rows = _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic)
     mass, n = F.coalesce("mass", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("long")
     step = F.lit(extent / n_bins) * F.col("r")
     outer, inner = (F.col("bin") + 1) * step, F.col("bin") * step

@@ -51,7 +51,7 @@ class _Tree:
         order, self.cuts = np.arange(len(xyz)), {}
         at = xyz - box * np.floor(xyz / box) if box else xyz
         self._deal(at, order, 0, len(xyz))
-        self.box, self.orig, self.at, self.w = box, xyz[order], at[order], w[order]
+        self.box, self.order, self.orig, self.at, self.w = box, order, xyz[order], at[order], w[order]
         # Sums of few small whole numbers are exact in single precision, too.
         small = (np.abs(w).max(initial=0.0) * LEAF < 1 << 24) and bool((w == np.rint(w)).all())
         self.columns = [np.ascontiguousarray(c, np.float32 if small else np.float64) for c in self.w.T]
@@ -141,34 +141,108 @@ class _Tree:
                 self.out[rows[i : i + step], k] += hit @ w[start:stop]
 
 
+    def flows(self, c, rows, places, limits, vectors):
+        """For each row of c and limit the sum of the vectors' components away from its places, between the limit and the one before."""
+        out = np.zeros((len(c), limits.shape[1]))
+        if len(rows):
+            self.c, self.t, self.place, self.v = c[rows], limits[rows], places, vectors[self.order]
+            self.out = np.zeros(self.t.shape)
+            self._visit_flows(0, len(self.at), np.arange(len(rows)))
+            np.add.at(out, rows, self.out)
+        return out
+
+    def _visit_flows(self, start, stop, rows):
+        low, high, leaf = self.cuts[start, stop]
+        off = np.abs(self.place[rows] - (low + high) / 2)
+        gap, most = np.maximum(off - (high - low) / 2, 0.0), off + (high - low) / 2
+        least, most = np.einsum("ij,ij->i", gap, gap), np.einsum("ij,ij->i", most, most)
+        near = np.flatnonzero(least * (1 - 1e-12) <= self.t[rows, -1] + 1e-12)
+        if not len(near):
+            return
+        rows = rows[near]
+        if not leaf:
+            half = start + (stop - start) // 2
+            self._visit_flows(start, half, rows)
+            self._visit_flows(half, stop, rows)
+            return
+        # The first limit that isn't below the leaf, and how many limits cut it; those with most cuts come first.
+        t, least, most = self.t[rows], least[near] * (1 - 1e-9) - 1e-12, most[near] * (1 + 1e-9) + 1e-12
+        first = (t < least[:, None]).sum(1)
+        cuts = (t < most[:, None]).sum(1) - first
+        order = np.argsort(-cuts, kind="stable")
+        rows, first, cuts = rows[order], first[order], cuts[order]
+        step = max(1, (1 << 16) // (stop - start))
+        for i in range(0, len(rows), step):
+            self._add_flows(start, stop, rows[i : i + step], first[i : i + step], cuts[i : i + step])
+
+    def _add_flows(self, start, stop, rows, first, cuts):
+        low, high, _ = self.cuts[start, stop]
+        o = (low + high) / 2
+        u, p, v = self.at[start:stop] - o, self.place[rows] - o, self.v[start:stop]
+        pp = np.einsum("ij,ij->i", p, p)
+        d2 = np.column_stack([-2 * p, np.ones(len(p)), pp]) @ np.vstack([u.T, (u * u).sum(1), np.ones(len(u))])
+        along = np.column_stack([-p, np.ones(len(p))]) @ np.vstack([v.T, (u * v).sum(1)])
+        # Near the place differences of large numbers lose digits; there they are taken one by one.
+        scale = pp.max() + (u * u).sum(1).max() + 1e-30
+        if d2.min() < 1e-4 * scale:
+            a, b = np.divmod(np.flatnonzero(d2.ravel() < 1e-4 * scale), len(u))
+            d = self.orig[start + b] - self.c[rows[a]]
+            if self.box:
+                d = _image(d, self.box)
+            near = (d * d).sum(1)
+            d2[a, b], along[a, b] = np.where(near > 0, near, np.inf), (d * v[b]).sum(1)  # at the place nothing goes away from it
+        along /= np.sqrt(d2)
+        ones, t, k = np.ones(len(u)), self.t[rows], self.t.shape[1]
+        done = np.zeros(len(rows))
+        for j in range(int(cuts.max())):
+            m = int(np.searchsorted(-cuts, -j, side="left"))  # rows with more than j cuts
+            limit = t[np.arange(m), first[:m] + j]
+            over = d2[:m] - limit[:, None]
+            hit = over <= 0
+            np.abs(over, out=over)
+            if over.min() <= 1e-13 * scale:
+                a, b = np.divmod(np.flatnonzero(over.ravel() <= 1e-13 * scale), len(u))
+                hit[a, b] = _exact(self.orig[start + b], self.c[rows[a]], self.box) <= limit[a]
+            np.multiply(along[:m], hit, out=over)
+            upto = over @ ones
+            self.out[rows[:m], first[:m] + j] += upto - done[:m]
+            done[:m] = upto
+        last = first + cuts
+        inside = last < k
+        self.out[rows[inside], last[inside]] += (along @ ones - done)[inside]
+
+
 def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
     return np.column_stack([table.column(c).to_numpy().astype(float) for c in names]) if names else np.zeros((len(table), 0))
 
 
-def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits: int, box: float, most_reach: float, weights: tuple[str, ...] = (), key: str = "void_id", periodic: bool = True) -> DataFrame:
+def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits: int, box: float, most_reach: float, weights: tuple[str, ...] = (), key: str = "void_id", periodic: bool = True, flow: tuple[str, ...] = ()) -> DataFrame:
     """key, n_0, n_1, ... and a <weight>_0, <weight>_1, ... for each weight: tracers whose squared distance is at most each limit.
 
     limits: squared distances of a centre, ascending, as an array of n_limits doubles. most_reach: the largest distance.
-    Centres near no tracer have no row. Weights are finite; a null weighs nothing.
+    Centres near no tracer have no row. Weights are finite; a null weighs nothing. flow: the three parts of a vector, whose
+    component away from the centre is summed up between each limit and the one before, as flow_0, flow_1, ...
     """
     require(box > 0 and most_reach > 0, "box and reach must be positive")
     require(not periodic or 2 * most_reach < box, "a sphere reaches around the box")
     n = max(1, min(8, int(2 * box / most_reach)))
     sized = centres.select(key, "cx", "cy", "cz", limits.alias("__t"))
     left = reached_cells(sized, F.sqrt(F.element_at("__t", -1)) * (1 + 1e-9), box, n, periodic).drop("__reach")
-    right = tracers.select("x", "y", "z", *weights).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    right = tracers.select("x", "y", "z", *weights, *flow).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     if periodic:
         wrapped = [F.least(F.floor(F.pmod(c, F.lit(box)) / F.lit(box / n)), F.lit(n - 1)).cast("int") for c in "xyz"]
         right = right.withColumn("__cell", cell_key(*wrapped, n))
     else:
         right = with_cell(right, box, n)
     # At most 512 numbers: how many pieces a block's tracers make.
-    crowds = {r["__cell"]: -(-r["count"] // PIECE) for r in right.groupBy("__cell").count().collect()}
+    counts = {r["__cell"]: r["count"] for r in right.groupBy("__cell").count().collect()}
+    crowds, total = {c: -(-k // PIECE) for c, k in counts.items()}, sum(counts.values())
     pieces = F.element_at(F.create_map(*[F.lit(v).cast(t) for c, k in crowds.items() for v, t in ((c, "long"), (k, "int"))]), F.col("__cell")) if crowds else F.lit(1)
     left = left.where(F.col("__cell").isin(list(crowds))).withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     right = right.withColumn("__piece", F.pmod(F.xxhash64("x", "y", "z"), pieces).cast("int") if crowds else F.lit(0))
-    tasks = max(1, min(2000, sum(crowds.values())))
-    names = [f"n_{k}" for k in range(n_limits)] + [f"{w}_{k}" for w in weights for k in range(n_limits)]
+    # Small tables in a few tasks, large ones in one for each piece.
+    tasks = max(1, min(2000, sum(crowds.values()), max(total >> 15, 2 * tracers.sparkSession.sparkContext.defaultParallelism)))
+    names = [f"n_{k}" for k in range(n_limits)] + [f"{w}_{k}" for w in weights for k in range(n_limits)] + [f"flow_{k}" for k in range(n_limits) if flow]
     dtype = dict(centres.dtypes)[key]
     schema = f"{key} {dtype}, " + ", ".join(f"{c} double" for c in names)
     wrap = box if periodic else None
@@ -180,10 +254,14 @@ def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits
         tree = _Tree(_matrix(b, ["x", "y", "z"]), w, wrap)
         c = _matrix(a, ["cx", "cy", "cz"])
         t = a.column("__t").combine_chunks().flatten().to_numpy().reshape(len(a), n_limits)
-        out = tree.sums(c, *_images(c, t[:, -1], *tree.bounds(), wrap), t)
+        places = _images(c, t[:, -1], *tree.bounds(), wrap)
+        out = tree.sums(c, *places, t)
         some = out[:, -1, 0] > 0
         cols = {f"n_{k}": out[some, k, 0] for k in range(n_limits)}
         cols |= {f"{w}_{k}": out[some, k, 1 + i] for i, w in enumerate(weights) for k in range(n_limits)}
+        if flow:
+            flows = tree.flows(c, *places, t, np.nan_to_num(_matrix(b, list(flow))))
+            cols |= {f"flow_{k}": flows[some, k] for k in range(n_limits)}
         return pa.table({key: a.column(key).filter(pa.array(some)), **cols})
 
     by = ["__cell", "__piece"]

@@ -140,3 +140,26 @@ def test_nearest_meets_few_tracers(spark, monkeypatch):
     d2 = squared(p, c, 100.0)
     assert got == {i: (int(d2[i].argmin()), d2[i].min()) for i in range(50)}
     assert seen[0].count() < 50 * 40
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_velocities_by_brute_force(spark, weighted):
+    """Shells' mean speeds away from the centre, with a tracer at the centre, others beside it and images."""
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.uniform(0, 40, (3000, 3)), [[20.0, 20.0, 20.0]], 20.0 + rng.normal(0, 1e-3, (50, 3))])
+    v, w = rng.normal(size=(len(p), 3)), rng.uniform(0.5, 2, len(p))
+    tracers = spark.createDataFrame([(*map(float, a), *map(float, b), float(m)) for a, b, m in zip(p, v, w)], "x double, y double, z double, vx double, vy double, vz double, w double")
+    c = np.concatenate([[[20.0, 20.0, 20.0], [0.5, 39.5, 1.0]], rng.uniform(0, 40, (10, 3))])
+    voids = spark.createDataFrame([(i, *map(float, q), 4.0 + i % 3) for i, q in enumerate(c)], "void_id long, cx double, cy double, cz double, r double")
+    df = measure.profiles(voids, tracers, 40.0, 6, 3.0, 1.0, 6.0, weight="w", velocity=True, weighted_velocity=weighted)
+    assert "FlatMapCoGroupsInArrow" in plan(df)
+    got = {(r["void_id"], r["bin"]): (r["n"], r["v_rad"]) for r in df.collect()}
+    for i, q in enumerate(c):
+        d = p - q
+        d -= 40 * np.floor(d / 40 + 0.5)
+        way = np.sqrt((d * d).sum(1))
+        speed = np.divide((d * v).sum(1), way, out=np.zeros(len(p)), where=way > 0)
+        at = np.floor(way * (6 / (3 * (4.0 + i % 3))))
+        for b in range(6):
+            m = (w if weighted else np.ones(len(p))) * (at == b)
+            assert got[i, b][0] == (at == b).sum() and got[i, b][1] == pytest.approx((speed * m).sum() / m.sum() if m.sum() else 0.0, abs=1e-12)
