@@ -313,7 +313,7 @@ def climb(voids: DataFrame, tracers: DataFrame, spec: GridSpec, density: float,
         # A search may pass below the rung: its probes count from 0.7 of the radius on, its climb from where it is.
         low = F.when(climbing, F.least(F.lit(float(least)), F.col("r"))).otherwise(0.7 * F.col("kr"))
         tried = materialise(active.select("void_id", low.alias("low"), F.explode(tries).alias("t")).select("void_id", "low", "t.*").withColumn("probe", F.col("void_id") * 32 + F.col("dir")))
-        got = crossing_radius(tried, tracers, spec.box, density, threshold, F.col("low"), F.lit(reach), reach, key="probe")
+        got = crossing_radius(tried, tracers, spec.box, density, threshold, F.col("low"), F.lit(reach), reach, key="probe", count_first=False)
         best = tried.join(got.where("radius IS NOT NULL"), "probe").groupBy("void_id").agg(F.max(F.struct("radius", -F.col("dir"), "cx", "cy", "cz")).alias("b"))
         joined = rows.join(best, "void_id", "left").withColumn("up", F.col("b").isNotNull() & F.when(climbing, F.col("b.radius") > F.col("r")).otherwise(probing))
         moved = joined.withColumns({f"c{c}": F.when(F.col("up"), F.col(f"b.c{c}")).otherwise(F.col(f"c{c}")) for c in "xyz"} | {"r": F.when(F.col("up"), F.col("b.radius")).otherwise(F.col("r")), "step": F.when(climbing & ~F.col("up"), F.col("step") / 2).otherwise(F.col("step"))})
