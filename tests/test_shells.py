@@ -163,3 +163,8 @@ def test_velocities_by_brute_force(spark, weighted):
         for b in range(6):
             m = (w if weighted else np.ones(len(p))) * (at == b)
             assert got[i, b][0] == (at == b).sum() and got[i, b][1] == pytest.approx((speed * m).sum() / m.sum() if m.sum() else 0.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["profiles_stacked"])
+def test_other_profiles_make_no_pairs(spark, name):
+    assert "FlatMapCoGroupsInArrow" in plan(named.queries()[name](spark, DATA))
