@@ -165,6 +165,6 @@ def test_velocities_by_brute_force(spark, weighted):
             assert got[i, b][0] == (at == b).sum() and got[i, b][1] == pytest.approx((speed * m).sum() / m.sum() if m.sum() else 0.0, abs=1e-12)
 
 
-@pytest.mark.parametrize("name", ["profiles_wide", "profiles_stacked"])
+@pytest.mark.parametrize("name", ["profiles_shell_weighted", "profiles_wide", "profiles_stacked"])
 def test_other_profiles_make_no_pairs(spark, name):
     assert "FlatMapCoGroupsInArrow" in plan(named.queries()[name](spark, DATA))
