@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,16 +94,14 @@ def _binned_pairs(voids, tracers, box, n_bins, extent, most_radius, weight, velo
 
 def _binned_sums(voids, tracers, box, n_bins, extent, most_radius, weight, velocity, weighted_velocity, periodic):
     """void_id, r, bin, n, mass and flow from sums within each bin's outer edge."""
-
-    @F.pandas_udf("array<double>")
-    def limits(r: pd.Series) -> pd.Series:
-        return pd.Series(list(bin_limits(r.to_numpy(float), n_bins, extent)))
-
     weights, flow = (weight,) if weight else (), ("__vx", "__vy", "__vz") if velocity else ()
     if velocity:
         m = F.col(weight).cast("double") if weight and weighted_velocity else F.lit(1.0)
         tracers = tracers.withColumns({f"__v{c}": F.col(f"v{c}") * m for c in "xyz"})
-    sums = sums_within(voids, tracers, limits("r"), n_bins, box, most_radius * extent, weights, periodic=periodic, flow=flow)
+    # In the tasks, so that voids don't carry n_bins limits into each block; a void without a size has no limits.
+    spread, r = partial(bin_limits, n_bins=n_bins, extent=extent), F.col("r").cast("double")
+    sized = voids.where((r > 0) & (r < float("inf")))
+    sums = sums_within(sized, tracers, r, n_bins, box, most_radius * extent, weights, periodic=periodic, flow=flow, reach=r * F.lit(extent), spread=spread)
     named = {"n": "n", "mass": weight or "n"}
     both = voids.select("void_id", "r").join(sums, "void_id", "left")
     own = [[F.col(f"flow_{k}").alias("flow")] if velocity else [] for k in range(n_bins)]

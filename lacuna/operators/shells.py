@@ -7,6 +7,8 @@ limit cuts are compared tracer by tracer. A crowded block is dealt in pieces, wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -216,18 +218,19 @@ def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
     return np.column_stack([table.column(c).to_numpy().astype(float) for c in names]) if names else np.zeros((len(table), 0))
 
 
-def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits: int, box: float, most_reach: float, weights: tuple[str, ...] = (), key: str = "void_id", periodic: bool = True, flow: tuple[str, ...] = ()) -> DataFrame:
+def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits: int, box: float, most_reach: float, weights: tuple[str, ...] = (), key: str = "void_id", periodic: bool = True, flow: tuple[str, ...] = (), reach: Column | None = None, spread: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """key, n_0, n_1, ... and a <weight>_0, <weight>_1, ... for each weight: tracers whose squared distance is at most each limit.
 
-    limits: squared distances of a centre, ascending, as an array of n_limits doubles. most_reach: the largest distance.
+    limits: squared distances of a centre, ascending, as an array of n_limits doubles; with spread, a double of which
+    spread makes them in the tasks, none beyond the centre's reach. most_reach: the largest distance.
     Centres near no tracer have no row. Weights are finite; a null weighs nothing. flow: the three parts of a vector, whose
     component away from the centre is summed up between each limit and the one before, as flow_0, flow_1, ...
     """
     require(box > 0 and most_reach > 0, "box and reach must be positive")
     require(not periodic or 2 * most_reach < box, "a sphere reaches around the box")
     n = max(1, min(8, int(2 * box / most_reach)))
-    sized = centres.select(key, "cx", "cy", "cz", limits.alias("__t"))
-    left = reached_cells(sized, F.sqrt(F.element_at("__t", -1)) * (1 + 1e-9), box, n, periodic).drop("__reach")
+    sized = centres.select(key, "cx", "cy", "cz", limits.alias("__t"), (F.sqrt(F.element_at(limits, -1)) if reach is None else reach).alias("__far"))
+    left = reached_cells(sized, F.col("__far") * (1 + 1e-9), box, n, periodic).drop("__reach", "__far")
     right = tracers.select("x", "y", "z", *weights, *flow).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     if periodic:
         wrapped = [F.least(F.floor(F.pmod(c, F.lit(box)) / F.lit(box / n)), F.lit(n - 1)).cast("int") for c in "xyz"]
@@ -253,7 +256,8 @@ def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits
         w = np.column_stack([np.ones(len(b)), np.nan_to_num(_matrix(b, list(weights)))])
         tree = _Tree(_matrix(b, ["x", "y", "z"]), w, wrap)
         c = _matrix(a, ["cx", "cy", "cz"])
-        t = a.column("__t").combine_chunks().flatten().to_numpy().reshape(len(a), n_limits)
+        t = a.column("__t")
+        t = spread(t.to_numpy()) if spread else t.combine_chunks().flatten().to_numpy().reshape(len(a), n_limits)
         places = _images(c, t[:, -1], *tree.bounds(), wrap)
         out = tree.sums(c, *places, t)
         some = out[:, -1, 0] > 0

@@ -168,3 +168,17 @@ def test_velocities_by_brute_force(spark, weighted):
 @pytest.mark.parametrize("name", ["profiles_shell_weighted", "profiles_wide", "profiles_stacked"])
 def test_other_profiles_make_no_pairs(spark, name):
     assert "FlatMapCoGroupsInArrow" in plan(named.queries()[name](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["profiles_shell_weighted", "profiles_wide", "profiles_stacked"])
+def test_limits_are_made_in_the_tasks(spark, name):
+    """No Python step makes them before voids are dealt out to blocks, and no array of them is shuffled."""
+    text = plan(named.queries()[name](spark, DATA))
+    assert "FlatMapCoGroupsInArrow" in text and "ArrowEvalPython" not in text
+
+
+def test_a_void_without_a_size_has_empty_bins(spark):
+    tracers = spark.createDataFrame([(5.0, 5.0, 5.0), (6.0, 5.0, 5.0)], "x double, y double, z double")
+    voids = spark.createDataFrame([(0, 5.0, 5.0, 5.0, 1.0), (1, 5.0, 5.0, 5.0, None), (2, 5.0, 5.0, 5.0, float("nan"))], "void_id long, cx double, cy double, cz double, r double")
+    got = {(r["void_id"], r["bin"]): r["n"] for r in measure.profiles(voids, tracers, 20.0, 2, 2.0, 1.0, 1.0).collect()}
+    assert got == {(0, 0): 1, (0, 1): 1, (1, 0): 0, (1, 1): 0, (2, 0): 0, (2, 1): 0}
