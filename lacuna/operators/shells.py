@@ -18,7 +18,9 @@ from ..core import require
 from .spatial import cell_key, reached_cells, with_cell
 
 LEAF = 160
-PIECE = 1 << 19
+PIECE = 1 << 20
+# Pairs that are compared, and places that meet a node, at a time: what a core's cache holds.
+PAIRS, STEP = 1 << 16, 1 << 13
 
 
 def _image(d, box):
@@ -51,23 +53,30 @@ class _Tree:
 
     def __init__(self, xyz, w, box):
         order, self.cuts = np.arange(len(xyz)), {}
-        at = xyz - box * np.floor(xyz / box) if box else xyz
+        at = (xyz - box * np.floor(xyz / box) if box else xyz).T.copy()
         self._deal(at, order, 0, len(xyz))
-        self.box, self.order, self.orig, self.at, self.w = box, order, xyz[order], at[order], w[order]
+        self.box, self.order, self.orig, self.at, self.w = box, order, xyz[order], at.T.copy(), w[order]
         # Sums of few small whole numbers are exact in single precision, too.
         small = (np.abs(w).max(initial=0.0) * LEAF < 1 << 24) and bool((w == np.rint(w)).all())
-        self.columns = [np.ascontiguousarray(c, np.float32 if small else np.float64) for c in self.w.T]
-        self.mid = (at.min(0) + at.max(0)) / 2
+        dtype = np.float32 if small else np.float64
+        # Columns of ones are counted, not weighed.
+        self.columns = [None if LEAF < 256 and (c == 1).all() else np.ascontiguousarray(c, dtype) for c in self.w.T]
+        self.weighed = any(c is not None for c in self.columns)
+        # Arrays that all nodes share: fresh ones of this size would cost more than what is done in them.
+        self.bounded = np.empty((4, STEP), np.float32)
+        self.pairs = [np.empty(PAIRS, kind) for kind in (np.float32, bool, bool, dtype)]
+        self.mid = (at.min(1) + at.max(1)) / 2
 
     def _deal(self, at, order, start, stop):
-        """Sorts order[start:stop] into halves along the longest side, down to leaves, and keeps each node's bounds."""
-        x = at[order[start:stop]].T.copy()
+        """Sorts places and order into halves along the longest side, down to leaves, and keeps each node's bounds."""
+        x = at[:, start:stop]
         low, high = x.min(1), x.max(1)
         leaf = stop - start <= LEAF
         self.cuts[start, stop] = low, high, leaf
         if not leaf:
             half, axis = (stop - start) // 2, int(np.argmax(high - low))
-            order[start:stop] = order[start:stop][np.argpartition(x[axis], half)]
+            by = np.argpartition(x[axis], half)
+            x[:], order[start:stop] = x[:, by], order[start:stop][by]
             self._deal(at, order, start, start + half)
             self._deal(at, order, start + half, stop)
 
@@ -80,41 +89,48 @@ class _Tree:
         out = np.zeros((m, k, self.w.shape[1]))
         if not len(rows):
             return out
-        self.c, self.t, self.place = np.repeat(c[rows], k, 0), limits[rows].ravel(), np.repeat(places, k, 0)
-        self.out = np.zeros((len(self.t), self.w.shape[1]))
-        at = (self.place - self.mid).astype(np.float32).T.copy()
+        self.c, self.t, self.place, self.k = c[rows], limits[rows].ravel(), places.T.copy(), k
+        self.out = np.zeros((self.w.shape[1], len(self.t)))
+        at = np.repeat((places - self.mid).astype(np.float32).T, k, 1)
         # What single precision may get wrong in a squared distance of this block.
-        self.slack = 2e-6 * float((np.abs(self.place - self.mid).max() + np.abs(self.at - self.mid).max() + 1e-30) ** 2)
+        self.slack = np.float32(2e-6 * float((np.abs(places - self.mid).max() + np.abs(self.at - self.mid).max() + 1e-30) ** 2))
         self._visit(0, len(self.at), np.arange(len(self.t)), at, self.t.astype(np.float32))
-        np.add.at(out, rows, self.out.reshape(len(rows), k, -1))
+        np.add.at(out, rows, self.out.T.reshape(len(rows), k, -1))
         return out
 
     def _visit(self, start, stop, rows, at, t):
         low, high, leaf = self.cuts[start, stop]
         mid, half = ((low + high) / 2 - self.mid).astype(np.float32), ((high - low) / 2).astype(np.float32)
-        least = most = None
-        for p, a, h in zip(at, mid, half):
-            off = p - a
-            np.abs(off, out=off)
-            gap = off - h
-            np.maximum(gap, 0, out=gap)
-            gap *= gap
-            off += h
-            off *= off
-            least, most = (gap, off) if least is None else (np.add(least, gap, out=least), np.add(most, off, out=most))
-        most += np.float32(self.slack)
-        least -= np.float32(self.slack)
-        inside, cut = most < t, least <= t
-        if inside.any():
-            self.out[rows[inside]] += self.w[start:stop].sum(0)
-            cut &= ~inside
-        cut = np.flatnonzero(cut)
+        inside, cut = np.empty(len(rows), bool), np.empty(len(rows), bool)
+        for i in range(0, len(rows), STEP):
+            some = slice(i, min(i + STEP, len(rows)))
+            off, gap, least, most = self.bounded[:, : some.stop - i]
+            most.fill(self.slack)
+            least.fill(-self.slack)
+            for p, a, h in zip(at, mid, half):
+                np.subtract(p[some], a, out=off)
+                np.abs(off, out=off)
+                np.subtract(off, h, out=gap)
+                np.maximum(gap, 0, out=gap)
+                np.multiply(gap, gap, out=gap)
+                np.add(off, h, out=off)
+                np.multiply(off, off, out=off)
+                np.add(least, gap, out=least)
+                np.add(most, off, out=most)
+            np.less(most, t[some], out=inside[some])
+            np.less_equal(least, t[some], out=cut[some])
+        np.greater(cut, inside, out=cut)
+        inside, cut = np.flatnonzero(inside), np.flatnonzero(cut)
+        if len(inside):
+            inside = rows[inside]
+            for out, w in zip(self.out, self.w[start:stop].sum(0)):
+                out[inside] += w
         if not len(cut):
             return
         rows = rows[cut]
         if leaf:
             return self._compare(start, stop, rows)
-        at, t, half = at[:, cut], t[cut], (stop - start) // 2
+        at, t, half = at.take(cut, 1), t[cut], (stop - start) // 2
         self._visit(start, start + half, rows, at, t)
         self._visit(start + half, stop, rows, at, t)
 
@@ -122,26 +138,37 @@ class _Tree:
         # Single precision around the leaf's middle; what is nearer to the limit than its error is decided exactly.
         low, high, _ = self.cuts[start, stop]
         o, half = (low + high) / 2, (high - low) / 2
-        u, v, t = self.at[start:stop] - o, self.place[rows] - o, self.t[rows]
-        rest = np.einsum("ij,ij->i", v, v) - t
-        left = np.empty((len(rows), 5), np.float32)
-        left[:, :3], left[:, 3], left[:, 4] = -2 * v, rest, 1
-        right = np.empty((5, len(u)), np.float32)
-        right[:3], right[3], right[4] = u.T, 1, (u * u).sum(1)
-        step = max(1, (1 << 16) // len(u))
-        errors = 6e-7 * (np.abs(rest) + 2 * (np.abs(v) @ half) + half @ half) + 1e-30
+        u, n, t, centre = self.at[start:stop] - o, stop - start, self.t.take(rows), rows // self.k
+        left, right = np.empty((n, 5), np.float32), np.empty((5, len(rows)), np.float32)
+        vv = np.zeros(len(rows))
+        for x, p, a in zip(right, self.place, o):
+            v = p.take(centre)
+            v -= a
+            np.multiply(v, -2, out=x, casting="same_kind")
+            v *= v
+            vv += v
+        rest = vv - t
+        left[:, :3], left[:, 3], left[:, 4] = u, 1, (u * u).sum(1)
+        right[3], right[4] = rest, 1
+        error = np.float32(6e-7 * (np.abs(rest).max() + 2 * np.sqrt(vv.max() * (half @ half)) + half @ half) + 1e-30)
+        sums = np.empty((len(self.columns), len(rows)))
+        step = max(1, PAIRS // n)
         for i in range(0, len(rows), step):
-            over = left[i : i + step] @ right
-            hit = over <= 0
-            error = errors[i : i + step].max()
-            np.abs(over, out=over)
-            if over.min() <= error:
-                a, b = np.divmod(np.flatnonzero(over.ravel() <= error), len(u))
-                hit[a, b] = _exact(self.orig[start + b], self.c[rows[i + a]], self.box) <= t[i + a]
-            hit = hit.astype(self.columns[0].dtype)
-            for k, w in enumerate(self.columns):
-                self.out[rows[i : i + step], k] += hit @ w[start:stop]
-
+            m = min(step, len(rows) - i)
+            over, hit, near, part = (x[: n * m].reshape(n, m) for x in self.pairs)
+            np.matmul(left, right[:, i : i + m], out=over)
+            np.less_equal(over, -error, out=hit)
+            np.less_equal(over, error, out=near)
+            np.not_equal(hit, near, out=near)
+            if near.any():
+                a, b = np.divmod(np.flatnonzero(near), m)
+                hit[a, b] = _exact(self.orig[start + a], self.c[centre[i + b]], self.box) <= t[i + b]
+            if self.weighed:
+                np.copyto(part, hit)
+            for now, w in zip(sums, self.columns):
+                now[i : i + m] = np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8) if w is None else w[start:stop] @ part
+        for out, now in zip(self.out, sums):
+            out[rows] += now
 
     def flows(self, c, rows, places, limits, vectors):
         """For each row of c and limit the sum of the vectors' components away from its places, between the limit and the one before."""
@@ -243,8 +270,8 @@ def sums_within(centres: DataFrame, tracers: DataFrame, limits: Column, n_limits
     pieces = F.element_at(F.create_map(*[F.lit(v).cast(t) for c, k in crowds.items() for v, t in ((c, "long"), (k, "int"))]), F.col("__cell")) if crowds else F.lit(1)
     left = left.where(F.col("__cell").isin(list(crowds))).withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     right = right.withColumn("__piece", F.pmod(F.xxhash64("x", "y", "z"), pieces).cast("int") if crowds else F.lit(0))
-    # Small tables in a few tasks, large ones in one for each piece.
-    tasks = max(1, min(2000, sum(crowds.values()), max(total >> 15, 2 * tracers.sparkSession.sparkContext.defaultParallelism)))
+    # Small tables in a few tasks, large ones in so many that pieces seldom share one.
+    tasks = max(1, min(2000, 8 * sum(crowds.values()), max(total >> 15, 2 * tracers.sparkSession.sparkContext.defaultParallelism)))
     names = [f"n_{k}" for k in range(n_limits)] + [f"{w}_{k}" for w in weights for k in range(n_limits)] + [f"flow_{k}" for k in range(n_limits) if flow]
     dtype = dict(centres.dtypes)[key]
     schema = f"{key} {dtype}, " + ", ".join(f"{c} double" for c in names)

@@ -182,3 +182,12 @@ def test_a_void_without_a_size_has_empty_bins(spark):
     voids = spark.createDataFrame([(0, 5.0, 5.0, 5.0, 1.0), (1, 5.0, 5.0, 5.0, None), (2, 5.0, 5.0, 5.0, float("nan"))], "void_id long, cx double, cy double, cz double, r double")
     got = {(r["void_id"], r["bin"]): r["n"] for r in measure.profiles(voids, tracers, 20.0, 2, 2.0, 1.0, 1.0).collect()}
     assert got == {(0, 0): 1, (0, 1): 1, (1, 0): 0, (1, 1): 0, (2, 0): 0, (2, 1): 0}
+
+
+def test_pieces_seldom_share_a_task(spark):
+    """The blocks of 36 million tracers are a piece each, and blocks are dealt to more tasks than there are pieces."""
+    assert shells.PIECE > 36_000_000 / 64
+    tracers = spark.range(3_000_000).selectExpr("id % 4000 / 100 AS x", "id % 3989 / 100 AS y", "id % 3967 / 100 AS z")
+    one = spark.createDataFrame([(0, 20.0, 20.0, 20.0)], "void_id long, cx double, cy double, cz double")
+    text = re.sub(r"#\d+L?", "", plan(shells.sums_within(one, tracers, F.array(F.lit(361.0)), 1, 40.0, 19.0)))
+    assert all(int(n) > 64 for n in re.findall(r"hashpartitioning\(__cell, __piece, (\d+)\)", text)) and "hashpartitioning(__cell, __piece, " in text
