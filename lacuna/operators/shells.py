@@ -64,7 +64,8 @@ class _Tree:
         self.weighed = any(c is not None for c in self.columns)
         # Arrays that all nodes share: fresh ones of this size would cost more than what is done in them.
         self.bounded = np.empty((4, STEP), np.float32)
-        self.pairs = [np.empty(PAIRS, kind) for kind in (np.float32, bool, bool, dtype)]
+        over, hit, near = (np.empty(PAIRS, kind) for kind in (np.float32, bool, bool))
+        self.pairs = over, hit, near, over if small else np.empty(PAIRS, dtype)  # once hits are known, over is free
         self.mid = (at.min(1) + at.max(1)) / 2
 
     def _deal(self, at, order, start, stop):

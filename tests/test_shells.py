@@ -1,6 +1,7 @@
 """Sums within distances, against brute force and without a row for each pair."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -184,6 +185,22 @@ def test_a_void_without_a_size_has_empty_bins(spark):
     assert got == {(0, 0): 1, (0, 1): 1, (1, 0): 0, (1, 1): 0, (2, 0): 0, (2, 1): 0}
 
 
+def test_comparisons_share_their_arrays():
+    """A leaf's pairs leave no array of their own size, and sums of counts, whole and other weights are those of brute force."""
+    rng = np.random.default_rng(4)
+    p, c = rng.uniform(0, 1, (150, 3)), rng.uniform(-1, 2, (4000, 3))
+    limits = rng.uniform(0, 3, (4000, 1))
+    near = squared(p, c) <= limits
+    for w in (np.ones((150, 1)), np.column_stack([np.ones(150), rng.integers(1, 50, 150)]), np.column_stack([np.ones(150), rng.uniform(0, 1, 150)])):
+        tree = shells._Tree(p, w, None)
+        tracemalloc.start()
+        got = tree.sums(c, np.arange(4000), c, limits)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got[:, 0, 0].tolist() == near.sum(1).tolist() and got[:, 0] == pytest.approx(near @ w, rel=1e-12)
+        assert most < near.size * 2
+
+
 def test_pieces_seldom_share_a_task(spark):
     """The blocks of 36 million tracers are a piece each, and blocks are dealt to more tasks than there are pieces."""
     assert shells.PIECE > 36_000_000 / 64
