@@ -15,6 +15,7 @@ from ..operators.crossing import crossing_radius, survey_crossing_radius
 from ..operators.overlap import accept_in_order, accept_with_displacement, without_collisions
 from ..operators.rows import check_weights
 from ..operators.smoothing import smooth
+from .climbing import climb
 
 log = logging.getLogger("lacuna.finders")
 VOIDS = "void_id long, cx double, cy double, cz double, r double"
@@ -243,7 +244,10 @@ def tracer_finder(grid: DataFrame, tracers: DataFrame, spec: GridSpec, radii: li
         if n_found and s.seeds == "cells" and not s.displace:
             candidates = materialise(without_collisions(candidates, found, spec.box, s.overlap_fraction, max(largest, r), s.overlap_scale))
         reach = reach_of(ladder, i, spec.cell, s.search_factor)
-        sized = resize(candidates, tracers, spec, density, threshold, r, reach, ladder[0] * s.search_factor if s.extend_reach else reach, weight)
+        if s.refine == "hill" and not s.extend_reach:
+            sized = candidates.drop("r")
+        else:
+            sized = resize(candidates, tracers, spec, density, threshold, r, reach, ladder[0] * s.search_factor if s.extend_reach else reach, weight)
         sized = materialise(climb(sized, tracers, spec, density, threshold, r, reach) if s.refine == "hill" else sized)
         n, most = sized.agg(F.count("*"), F.max("r")).first()
         log.info("rung %g: %d voids so far, %d resized candidates up to %s", r, n_found, n, most)
@@ -283,55 +287,6 @@ def resize(candidates: DataFrame, tracers: DataFrame, spec: GridSpec, density: f
         reach = min(reach * 1.5, furthest)
 
 
-def climb(voids: DataFrame, tracers: DataFrame, spec: GridSpec, density: float, threshold: float, least: float, reach: float, rounds: int = 1000) -> DataFrame:
-    """Centres moved uphill in crossing radius: six steps along the axes a round, from a tenth of the radius down to a hundredth.
-
-    From a climb's end follows the search for a better peak: the best of 26 probes at 0.3 of the radius, and a climb from
-    it, which is kept if it ends 0.1 % higher; up to three times. A centre that ends further than half its first radius
-    away goes back. All centres go on side by side, each in its own state; rounds is a bound that raises.
-    """
-    from ..operators.spatial import image
-
-    # kx, ky, kz, kr: the last peak kept; sx, sy, sz, base: where the climb began; search: how many searches did.
-    start = {f"{p}{c}": F.col(f"c{c}") for p in "0ks" for c in "xyz"}
-    start = {k if k[0] != "0" else f"{k[1]}0": v for k, v in start.items()}
-    rows = voids.withColumns(start | {"r0": F.col("r"), "kr": F.col("r"), "base": F.col("r"), "step": F.lit(0.1), "search": F.lit(0), "mode": F.lit("climb")})
-    axes = [(s * (a == 0), s * (a == 1), s * (a == 2)) for a in range(3) for s in (1, -1)]
-    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
-
-    def probes(dirs, centre: str, shift: Column):
-        at = [[F.pmod(F.col(f"{centre}{c}") + F.lit(d / sum(x * x for x in v) ** 0.5) * shift, F.lit(spec.box)).alias(f"c{c}") for c, d in zip("xyz", v)] for v in dirs]
-        return F.array(*[F.struct(*a, F.lit(i).alias("dir")) for i, a in enumerate(at)])
-
-    climbing, probing = F.col("mode") == "climb", F.col("mode") == "probe"
-    for _ in range(rounds):
-        rows = materialise(rows)
-        active = rows.where("mode <> 'done'")
-        if active.isEmpty():
-            break
-        tries = F.when(climbing, probes(axes, "c", F.col("step") * F.col("base"))).otherwise(probes(around, "k", 0.3 * F.col("kr")))
-        # A search may pass below the rung: its probes count from 0.7 of the radius on, its climb from where it is.
-        low = F.when(climbing, F.least(F.lit(float(least)), F.col("r"))).otherwise(0.7 * F.col("kr"))
-        tried = materialise(active.select("void_id", low.alias("low"), F.explode(tries).alias("t")).select("void_id", "low", "t.*").withColumn("probe", F.col("void_id") * 32 + F.col("dir")))
-        got = crossing_radius(tried, tracers, spec.box, density, threshold, F.col("low"), F.lit(reach), reach, key="probe", count_first=False)
-        best = tried.join(got.where("radius IS NOT NULL"), "probe").groupBy("void_id").agg(F.max(F.struct("radius", -F.col("dir"), "cx", "cy", "cz")).alias("b"))
-        joined = rows.join(best, "void_id", "left").withColumn("up", F.col("b").isNotNull() & F.when(climbing, F.col("b.radius") > F.col("r")).otherwise(probing))
-        moved = joined.withColumns({f"c{c}": F.when(F.col("up"), F.col(f"b.c{c}")).otherwise(F.col(f"c{c}")) for c in "xyz"} | {"r": F.when(F.col("up"), F.col("b.radius")).otherwise(F.col("r")), "step": F.when(climbing & ~F.col("up"), F.col("step") / 2).otherwise(F.col("step"))})
-        # A climb ends when its step is short; it counts if it is the first, or left its start and gained.
-        left = sum(((F.col(f"c{c}") != F.col(f"s{c}")).cast("int") for c in "xyz"), F.lit(0)) > 0
-        moved = moved.withColumn("ends", climbing & (F.col("step") < 0.01)).withColumn("keep", F.col("ends") & ((F.col("search") == 0) | (left & (F.col("r") > 1.001 * F.col("kr")))))
-        kept = {f"k{c}": F.when(F.col("keep"), F.col(f"c{c}")).otherwise(F.col(f"k{c}")) for c in "xyz"} | {"kr": F.when(F.col("keep"), F.col("r")).otherwise(F.col("kr"))}
-        again = probing & F.col("up")
-        begun = {f"s{c}": F.when(again, F.col(f"c{c}")).otherwise(F.col(f"s{c}")) for c in "xyz"} | {"base": F.when(again, F.col("r")).otherwise(F.col("base")), "step": F.when(again, 0.1).otherwise(F.col("step")), "search": F.col("search") + again.cast("int")}
-        mode = F.when(again, "climb").when(probing, "done").when(F.col("keep") & (F.col("search") < 3), "probe").when(F.col("ends"), "done").otherwise(F.col("mode"))
-        rows = moved.withColumns(kept | begun | {"mode": mode}).drop("b", "up", "ends", "keep")
-    else:
-        raise RuntimeError(f"the climb did not settle in {rounds} rounds")
-    away = F.sqrt(sum((image(F.col(f"k{c}") - F.col(f"{c}0"), spec.box) ** 2 for c in "xyz"), F.lit(0.0)))
-    back = away > 0.5 * F.col("r0")
-    return rows.select("void_id", *[F.when(back, F.col(f"{c}0")).otherwise(F.col(f"k{c}")).alias(f"c{c}") for c in "xyz"], "depth", F.when(back, F.col("r0")).otherwise(F.col("kr")).alias("r"))
-
-
 def survey_finder(data: DataFrame, randoms: DataFrame, spec: GridSpec, radii: list[float], threshold: float = -0.7, settings: Settings | str = "excursion-set", weight: str | None = None) -> DataFrame:
     """void_id, cx, cy, cz, r, depth, footprint, footprint_shell in a survey whose data and randoms lie in the box of spec.
 

@@ -1,6 +1,7 @@
 """Closed forms, brute force, invariance and refusals."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -207,6 +208,45 @@ def test_climb_by_replay(spark):
         finders.climb(table, *args, rounds=6)
 
 
+def test_climb_writes_few_tables(spark):
+    """Climbs of any length take a few plans, whatever the number of their rounds."""
+    from lacuna.core import shared_folder
+
+    p, df = points(spark, 6000, holes=[(25.0, 25.0, 25.0, 9.0)])
+    voids = spark.createDataFrame([(1, 25.0, 25.0, 25.0, 10.0, -0.9), (2, 26.5, 23.4, 26.1, 8.5, -0.9)], "void_id long, cx double, cy double, cz double, r double, depth double")
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = len(list(folder.iterdir())) if folder.exists() else 0
+    finders.climb(voids, df, GridSpec(16, 50.0), len(p) / 50.0**3, -0.7, 5.0, 18.0).collect()
+    assert len(list(folder.iterdir())) - before <= 13
+
+
+def test_climb_in_tasks_as_in_plans(spark, monkeypatch):
+    """States in the tasks are those of a plan a round to the last bit, also of centres that are dealt anew and across the borders."""
+    from lacuna.plans import climbing
+
+    p, df = points(spark, 6000, holes=[(1.0, 25.0, 49.0, 9.0), (20.0, 20.0, 20.0, 6.0)])
+    starts = [(1, 1.0, 25.0, 49.0, 10.0, -0.9), (2, 48.5, 23.4, 0.3, 8.5, -0.9), (3, 21.0, 20.0, 18.5, 6.2, -0.8), (4, 40.0, 40.0, 20.0, 5.0, -0.7)]
+    voids = spark.createDataFrame(starts, "void_id long, cx double, cy double, cz double, r double, depth double")
+    args = (df, GridSpec(16, 50.0), len(p) / 50.0**3, -0.7, 5.0, 11.0)
+    monkeypatch.setattr(climbing, "FEW", 0)
+    monkeypatch.setattr(climbing, "CLIMBERS", 1)
+    bare = spark.createDataFrame([(i, *c) for i, c in enumerate([(1.0, 25.0, 49.0), (2.5, 24.0, 48.0), (30.0, 40.0, 20.0), (20.0, 20.0, 20.0)])], "void_id long, cx double, cy double, cz double").withColumn("depth", F.lit(-0.9))
+    want = crossing.crossing_radius(bare, df, 50.0, len(p) / 50.0**3, -0.7, F.lit(5.0), F.lit(11.0), 11.0).where("radius IS NOT NULL")
+    sizes = climbing._in_tasks(climbing._begun(bare.withColumn("r", F.lit(None).cast("double"))), *args, 1, 12.0).where("mode <> 'none'")
+    want, sizes = (sorted(map(tuple, t.collect())) for t in (want.select("void_id", "radius"), sizes.select("void_id", "r0")))
+    assert want == sizes and 0 < len(want) < 4
+    got = sorted(map(tuple, climbing.climb(voids, *args).collect()))
+    rows = climbing._begun(voids)
+    tasks, plans = climbing._in_tasks(rows, *args, 4, 30.0), climbing._in_plans(rows, *args, 4)
+    columns = [c for c in plans.columns if c != "rounds"]
+    a, b = (sorted(map(tuple, df.select(columns).collect())) for df in (tasks, plans))
+    assert a == b and len(got) == 4
+    again = sorted(map(tuple, climbing._in_tasks(rows, *args, 1000, 30.0).select("void_id", "kx", "ky", "kz", "kr").collect()))
+    kept = {v[0]: v[1:4] + (v[5],) for v in got}
+    moved = [v for v in again if kept[v[0]] != starts[v[0] - 1][1:5]]
+    assert moved and all(kept[v[0]] == v[1:] for v in moved)
+
+
 def test_settings_are_refused():
     with pytest.raises(CatalogueError):
         finders.Settings(seeds="minima").check(survey=True)
